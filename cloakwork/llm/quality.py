@@ -68,7 +68,8 @@ def _with_ratios(measured: DataFrame) -> DataFrame:
 
 def thresholds(rated: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: n and the bounds ``low_*``, ``high_*`` of each measure."""
-    sketches = rated.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
+    by = [F.col(k) for k in keys] or [F.lit(0).alias("__all")]  # a constant key: no row for an empty table
+    sketches = rated.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES))
     quartile = lambda m, q: F.kll_sketch_get_quantile_double(m, F.lit(q))
     bounds = []
     for m, (floor, two_sided) in MEASURES.items():

@@ -9,10 +9,11 @@ Reading parses archives by Content-Length and checks payloads against their dige
 Each task sorts its captures by URL key and timestamp: a run.  Runs are cut into key
 ranges, and each range merges its slices of all runs with a loser tree, which gives
 globally ordered capture histories: ranges are ordered, and so is each within.  Ranges
-are cut on (key, timestamp, record), so captures of a single URL can fill many ranges.
+are cut on (key, timestamp, id, digest), so captures of a single URL can fill many ranges.
 
-Defined results: null payloads are empty; null urls have an empty key; of equal rows
-the first one read is the response; null ids stay null and sort first; further columns
+Defined results: null payloads are empty; null urls have an empty key; rows that
+repeat the smallest id of their payload are responses as well; a null id is never the
+smallest; further columns
 are ignored; an empty table gives an empty index.
 """
 
@@ -43,21 +44,21 @@ def _line(name: str, value: Column) -> Column:
 def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None) -> None:
     """Write one record per row.  date: capture time; by default EPOCH plus the id in seconds, within a year."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"), (date if date is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(31_536_000)))).alias("date"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), (date if date is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(31_536_000)))).alias("date"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload")})
-    firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(firsts, "digest", "left")
-    revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
-    name = lambda i, r: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), r.cast("string"), F.lit(">"))
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", name(F.col("id"), F.col("row"))),
+        _line("WARC-Record-ID", name(F.col("id"))),
         _line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", name(F.col("first.id"), F.col("first.row"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", name(F.col("first"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _line("Content-Length", F.octet_length(F.col("block")).cast("string")),
         F.lit("\r\n"),
@@ -91,7 +92,7 @@ def url_key(url: str | None) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives: url_key, ts, id, row, payload_bytes, payload_digest, record_type, refers_to, file, offset."""
+    """The captures of all archives: url_key, ts, id, payload_bytes, payload_digest, record_type, refers_to, file, offset."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda s: None if s == "null" else int(s)
@@ -104,16 +105,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
                     if h["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"{name}: the payload at {at} does not have its digest")
-                    _, _, i, row = h["WARC-Record-ID"].strip("<>").split(":")
+                    i = h["WARC-Record-ID"].split(":")[2]
                     to = h.get("WARC-Refers-To")
-                    out.append((url_key(h.get("WARC-Target-URI")), h["WARC-Date"], number(i), int(row), size, digest, h["WARC-Type"], number(to.split(":")[2]) if to else None, name.rsplit("/", 1)[-1], at))
+                    out.append((url_key(h.get("WARC-Target-URI")), h["WARC-Date"], number(i), size, digest, h["WARC-Type"], number(to.split(":")[2]) if to else None, name.rsplit("/", 1)[-1], at))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES.values())], list(_TYPES))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(parse, _SCHEMA)
 
 
-_TYPES = {"url_key": pa.string(), "ts": pa.string(), "id": pa.int64(), "row": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "file": pa.string(), "offset": pa.int64()}
+_TYPES = {"url_key": pa.string(), "ts": pa.string(), "id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "file": pa.string(), "offset": pa.int64()}
 _SCHEMA = ", ".join(f"{n} {'string' if t == pa.string() else 'bigint'}" for n, t in _TYPES.items())
 
 
@@ -144,14 +145,14 @@ def loser_merge(runs: list[list], key) -> Iterator:
 
 
 def index(captures: DataFrame) -> DataFrame:
-    """Captures in the global order of (url_key, ts, row): partition by partition, and within each."""
-    order = ["url_key", "ts", "row"]
+    """Captures in the global order of (url_key, ts, id, payload_digest), null ids first: partition by partition, and within each."""
+    order = ["url_key", "ts", "id", "payload_digest"]
     runs = stored(captures.sortWithinPartitions(*order), "capture_runs")
     ranged = runs.repartitionByRange(*order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        key = lambda r: (r[0], r[1], r[3])
+        key = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[4])
         cuts = [0, *(i for i in range(1, len(rows)) if key(rows[i]) < key(rows[i - 1])), len(rows)]  # slices of runs arrive one after another
         merged = list(loser_merge([rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a], key))
         for a in range(0, len(merged), 10_000):
