@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -41,3 +42,15 @@ def ship_code(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a local one only where the session names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cloakwork-shared")).rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one evaluation, and it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/cloakwork/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
