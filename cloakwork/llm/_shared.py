@@ -43,3 +43,25 @@ def native_words(text: Column) -> Column:
 def ascii_words(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z lower-cased.  ``bytes.split`` cuts at exactly ``WHITE``."""
     return text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split() if text else []
+
+
+class Memo:
+    """A bounded table of results, in two generations: what was not asked for since the last turnover goes first."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: list) -> list:
+        """Keys without a result; the others are in ``young`` afterwards, unless this call turns it over."""
+        young, old = self.young, self.old
+        new = {k for k in keys if k not in young}
+        if new and len(young) + len(new) > self.size:
+            self.old, self.young = old, young = young, {}
+            new = set(keys)
+        out = []
+        for k in new:
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out

@@ -11,7 +11,9 @@ plain encoding of the whole, so the result is exact in any case.
 
 Short texts are encoded word by word: this kind of tokenizer never merges across
 white space, so distinct words are encoded once per worker and remembered in a
-bounded table.  Words longer than a leaf go through the tree.
+bounded table.  Words longer than a leaf go through the tree.  In the same way a leaf's
+middle, between white space near its edges, is settled at once; only its head and tail
+keep their tokens for the windows.  A leaf without white space there keeps all of them.
 
 Defined results: null text counts as empty; empty text gives no ids and an empty
 decoded text; repeated rows give repeated results; further columns are ignored.
@@ -29,12 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import ASCII_LOWER, Memo
+
 #: Characters in a leaf of the tree, tokens on each side of the first window, words remembered.
-LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 200_000
+LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 300_000
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _CODECS: dict[str, Codec] = {}
 #: str.split() also cuts at these, which the tokenizer's white space does not include.
 _ODD = re.compile("[\x1c-\x1f]")
+#: A mark after a letter and before white space is a token of its own.
+_MARK = re.compile(rb"([.,])(?=[ \n]|\Z)(?<=[a-z][.,])")
+#: Characters at a leaf's edges that keep their tokens, for the windows around joins.
+EDGE = 512
 
 
 class Encoded:
@@ -62,7 +70,8 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf_chars, self.window = leaf_chars, window
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.memo = Memo(MEMO_WORDS)
+        self.by_word = self.library.decoder is None
         self.tokens: dict[int, str] = {}
 
     @staticmethod
@@ -149,25 +158,59 @@ class Codec:
                 short.append(w)
                 got.append(self.tree(w).ids.tolist())
         for w, ids in zip(short, got, strict=True):
-            self.memo[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            self.memo.young[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
 
     def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, decoded text) of each text."""
-        by_word = self.library.decoder is None
         for text in texts:
-            if not by_word or _ODD.search(text):
+            if not self.by_word or _ODD.search(text):
                 ids = self.tree(text).ids.tolist()
                 yield len(ids), " ".join(map(str, ids)), self.decode(ids)
                 continue
-            words, memo = text.split(), self.memo
-            new = {w for w in words if w not in memo}
-            if new:
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    new = set(words)
-                self._learn(list(new))
-            found = [r for r in map(memo.__getitem__, words) if r[0]]
-            yield sum([r[0] for r in found]), " ".join([r[1] for r in found]), " ".join([r[2] for r in found])
+            if "<|" not in text:  # special tokens are told by case; all else is lower-cased anyway
+                text = _MARK.sub(rb" \1", text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER)).decode("utf-8", "surrogatepass")
+            words = text.split()
+            if not words:
+                yield 0, "", ""
+                continue
+            found = list(map(self.memo.young.get, words))
+            if None in found:
+                self._learn(self.memo.missing(words))
+                found = map(self.memo.young.__getitem__, words)
+            sizes, ids, decoded = zip(*found, strict=True)
+            if 0 in sizes:
+                ids, decoded = filter(None, ids), filter(None, decoded)
+            yield sum(sizes), " ".join(ids), " ".join(decoded)
+
+    def edges(self, leaf: str) -> tuple[int, int]:
+        """Where a leaf's head ends and its tail starts, at white space; (0, 0) if it has none there."""
+        head, tail = leaf.find(" ", EDGE), leaf.rfind(" ", 0, max(0, len(leaf) - EDGE))
+        return (head, tail) if self.by_word and 0 < head < tail and not _ODD.search(leaf) else (0, 0)
+
+    def leaf(self, leaf: str) -> tuple[str, np.ndarray, str]:
+        """Head, ids of the middle, tail; a leaf without white space at its edges is all head."""
+        a, b = self.edges(leaf)
+        if not a:
+            return leaf, np.zeros(0, np.int32), ""
+        return leaf[:a], np.array(next(iter(self.batch([leaf[a:b]])))[1].split(), np.int32), leaf[b:]
+
+    def whole(self, leaves: list[tuple[str, np.ndarray, str]]) -> list[int]:
+        """Ids of the text whose leaves these are: between two middles stand a tail and heads, joined as a tree."""
+        ids: list[int] = []
+        run: list[str] = []
+        for head, middle, tail in leaves:
+            run.append(head)
+            if tail:
+                ids += self._run(run) + middle.tolist()
+                run = [tail]
+        return ids + self._run(run)
+
+    def _run(self, pieces: list[str]) -> list[int]:
+        text, parts, at = "".join(pieces), [], 0
+        for p in pieces:
+            parts.append((at, at + len(p), self.plain(p, at)))
+            at += len(p)
+        return self.concatenate(text, parts).ids.tolist()
 
 
 def _columns(rows: list[tuple[int, str, str]], outputs: list[str]) -> list[pa.Array]:
@@ -211,21 +254,16 @@ def encode_decode(df: DataFrame, definition: str, id_col: str = "doc_id", text_c
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(shipped.value)
         for batch in batches:
-            got = [codec.plain(t) for t in batch.column("text").to_pylist()]
-            pack = lambda name: pa.array([getattr(e, name).tobytes() for e in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "leaf", "text")), *map(pack, ("ids", "start", "end"))], ["row", "key", "leaf", "text", "ids", "start", "end"])
+            got = [codec.leaf(t) for t in batch.column("text").to_pylist()]
+            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "leaf")), *new], ["row", "key", "leaf", "head", "middle", "tail"])
 
-    encoded = leaves.mapInArrow(encode_leaves, f"row bigint, key {kind}, leaf int, text string, ids binary, start binary, end binary")
+    encoded = leaves.mapInArrow(encode_leaves, f"row bigint, key {kind}, leaf int, head string, middle binary, tail string")
 
     def concatenate(group: pa.Table) -> pa.Table:
         codec = Codec.of(shipped.value)
-        rows = sorted(group.select(["leaf", "text", "ids", "start", "end"]).to_pylist(), key=lambda r: r["leaf"])
-        at, parts = 0, []
-        for r in rows:
-            unpack = lambda name, add: np.frombuffer(r[name], np.int64) + add  # noqa: E731, B023
-            parts.append((at, at + len(r["text"]), Encoded(unpack("ids", 0), unpack("start", at), unpack("end", at))))
-            at += len(r["text"])
-        ids = codec.concatenate("".join(r["text"] for r in rows), parts).ids.tolist()
+        found = sorted(group.select(["leaf", "head", "middle", "tail"]).to_pylist(), key=lambda r: r["leaf"])
+        ids = codec.whole([(r["head"], np.frombuffer(r["middle"], np.int32), r["tail"]) for r in found])
         got = [(len(ids), " ".join(map(str, ids)), codec.decode(ids))]
         return pa.Table.from_arrays([group.column("key").slice(0, 1).combine_chunks(), *_columns(got, outs)], ["key", "n_tokens", *outs])
 

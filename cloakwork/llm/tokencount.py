@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch_path
+from ._shared import Memo, scratch_path
 
 #: Words remembered by each worker.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 _COUNTERS: dict[str, Counter] = {}
 
@@ -46,7 +46,7 @@ class Counter:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (self.library.id_to_piece(i) for i in range(self.library.get_piece_size()))
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces) and [self.library.encode(x, out_type=str) for x in ("a  b", "ab c")] == [["▁a", "▁", "▁b"], ["▁ab", "▁c"]]
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(MEMO_WORDS)
 
     @staticmethod
     def of(model: bytes) -> Counter:
@@ -58,15 +58,13 @@ class Counter:
     def count(self, text: str) -> int:
         if not self.by_word or not text or "  " in text or "▁" in text or text[0] == " " or text[-1] == " ":
             return len(self.library.encode(text, num_threads=1))
-        words, memo = text.split(" "), self.memo
-        new = {w for w in words if w not in memo}
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = set(words)
-            new = list(new)
-            memo.update(zip(new, map(len, self.library.encode(new, num_threads=1)), strict=True))
-        return sum(map(memo.__getitem__, words))
+        words = text.split(" ")
+        found = list(map(self.memo.young.get, words))
+        if None in found:
+            if new := self.memo.missing(words):
+                self.memo.young.update(zip(new, map(len, self.library.encode(new, num_threads=1)), strict=True))
+            found = map(self.memo.young.__getitem__, words)
+        return sum(found)
 
 
 def count_tokens(df: DataFrame, model: bytes, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
