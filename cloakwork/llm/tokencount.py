@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Memo, scratch_path
+from ._shared import Memo, scratch_path, stored
 
 #: Words remembered by each worker.
 MEMO_WORDS = 300_000
@@ -95,6 +95,7 @@ def count_tokens(df: DataFrame, model: bytes, cache_path: str | None = None, id_
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "counts")  # a plain table on this side lets Spark split the hot partitions of the other
     return (
         df.select(F.col(id_col), digest, F.octet_length(text).cast("bigint").alias("n_bytes"))
         .join(counts, "digest")
