@@ -124,4 +124,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = nodes.where(F.col("id").isNotNull())
     labels = components(known, links(known.select("fp")))
     named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    named = stored(named, "component_ids")  # a plain table on this side lets Spark split the hot partitions of the other
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
