@@ -6,7 +6,7 @@ partitioned by size; in each partition an item's sketch is its k = n - ceil(0.8
 smallest hashes (a bottom-k MinHash).  A document that holds 0.8 n of the n shingles
 misses at most k - 1 of them, so it holds one of the sketch: looking up sketches among
 a document's shingles finds every leak, however long the document, which a MinHash of
-the whole document would not.  Candidates are then verified by counting the item's
+the whole document would not.  Only candidates are then verified, by counting the item's
 distinct shingles found in the document, string by string.
 
 Items of fewer than five words are one shingle of all their words, looked up among the
@@ -51,11 +51,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """(doc_id, item_id, n_shared, n_item, containment) of every leak."""
     index = stored(item_shingles(items, item_id, item_text), "benchmark_shingles")
     size, widths = index.count(), [r[0] for r in index.select("width").distinct().collect()]  # at most SHINGLE values
-    side = F.broadcast(index.drop("width")) if size <= BROADCAST_ROWS else index.drop("width")
-    words = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), native_words(F.lower(F.col(text_col))).alias("w"))
+    small = lambda df: F.broadcast(df) if size <= BROADCAST_ROWS else df
     made = [_shingles("w", n) for n in sorted(widths)] or [_shingles("w", SHINGLE)]
-    shingles = words.select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("shingle"))
-    found = shingles.join(side, "shingle").groupBy("doc_id", "item_id", "n").agg(F.max("in_sketch").alias("candidate"), F.count_distinct("shingle").alias("n_shared"))
+    words = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), native_words(F.lower(F.col(text_col))).alias("w"))
+    shingles = lambda df: df.select("doc_id", F.explode(F.concat(*made) if len(made) > 1 else made[0]).alias("shingle"))
+
+    sketches = index.where("in_sketch").select("item_id", "shingle")
+    candidates = stored(shingles(words).join(small(sketches), "shingle").select("doc_id", "item_id").distinct(), "candidates")
+    held = stored(candidates.select("doc_id").distinct(), "candidate_documents")
+    if held.count() <= BROADCAST_ROWS:  # else all documents' shingles are looked up again; no text is shuffled either way
+        words = words.join(F.broadcast(held), "doc_id", "left_semi")
+    hits = shingles(words).join(small(index.select("item_id", "shingle", "n")), "shingle")
+    found = hits.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("shingle").alias("n_shared")).join(candidates, ["doc_id", "item_id"], "left_semi")
     share = F.col("n_shared") / F.col("n")
-    leaks = found.where(F.col("candidate") & (F.col("n_shared") >= F.ceil(F.col("n") * THRESHOLD - 1e-9)))
+    leaks = found.where(F.col("n_shared") >= F.ceil(F.col("n") * THRESHOLD - 1e-9))
     return leaks.select(F.col("doc_id").alias(id_col), F.col("item_id"), "n_shared", F.col("n").alias("n_item"), share.alias("containment"))
