@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS, SMOOTHING, ROUNDS, PRUNE, PENALTY = 16, 0.5, 20, 0.05, 3.0
 _LETTERS: list[np.ndarray] = []
@@ -109,7 +110,7 @@ def predict(df: DataFrame, model: Mixture, *keep: Column, text_col: str = "text"
     rows = df.select(*keep, F.col(text_col).alias("__text"))
     shipped = df.sparkSession.sparkContext.broadcast((model.langs, model.p))  # languages x 2^16 floats
     kept = rows.columns[:-1]
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[:-1]), "lang_pred string, score double, mixture map<string,double>"])
+    schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("mixture", T.MapType(T.StringType(), T.DoubleType()))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Mixture.__new__(Mixture)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm import bpe, decontam, langid, quality, simhash
@@ -10,15 +10,20 @@ from cloakwork.llm._shared import stored
 from cloakwork.llm.queries import table, tokenizer_file
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A document's columns as one, so that their names cannot clash with those an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts without a letter go."""
-    judged = langid.predict(docs, langid.learn(docs), *(F.col(c) for c in docs.columns))
-    return judged.where("lang_pred <> 'und'").select(*docs.columns)
+    judged = langid.predict(docs, langid.learn(docs), _whole(docs))
+    return judged.where("lang_pred <> 'und'").select("__doc.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's thresholds."""
-    return quality.judge(docs, *(F.col(c) for c in docs.columns)).where("kept").select(*docs.columns)
+    return quality.judge(docs, _whole(docs)).where("kept").select("__doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
