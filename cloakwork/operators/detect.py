@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spans
+from ..functions import names, spans
 from ..registry import ORDER, Detector, select
 
 ELEMENT = "struct<s:int,e:int,ord:int,id:string,m:string>"
 
 
 def matches(text: Column, detector: Detector) -> Column:
-    """Confirmed matches of one detector; texts without its literal skip the pattern."""
+    """Confirmed matches of one detector; texts without its literal skip the pattern.
+
+    Detectors without a pattern are those of names, found by a kernel.
+    """
+    if detector.pattern is None:
+        return F.coalesce(names.spans_of(text, detector.id), F.array().cast(names.NAME_SPAN))
     found = spans.find_all(text, detector.pattern)
     if detector.confirm:
         found = F.filter(found, lambda x: detector.confirm(text, x["s"], x["m"]))
