@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect, report
 from ..operators.mask import mask
-from ..registry import REGEX
+from ..registry import DETECTORS
 from ..session import materialize
 from . import dims
 
@@ -111,7 +111,7 @@ def decide(df: DataFrame, key: str, c: Context, text_col: str = "text") -> DataF
         masked = source.join(state, key)
         text = masked
         for name, mode in dims.MODE_OF.items():
-            ids = {cls: [d for d in REGEX if d.sensitivity == cls] for cls in must}
+            ids = {cls: [d for d in DETECTORS if d.sensitivity == cls] for cls in must}
             for cls in must:
                 ladder = c.ladder(cls)
                 steps = [i for i, t in enumerate(ladder) if t == name]
