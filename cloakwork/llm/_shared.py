@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
+#: Rows and bytes of a batch for Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -23,6 +25,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cloakwork/{uuid.uuid4().hex}/{name}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Batches for Python workers that stay small when texts are long: a batch is what a worker holds at once."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_LOWER, Memo
+from ._shared import ASCII_LOWER, Memo, small_batches
 
 #: Characters in a leaf of the tree, tokens on each side of the first window, words remembered.
 LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 300_000
@@ -231,7 +231,7 @@ def encode_decode(df: DataFrame, definition: str, id_col: str = "doc_id", text_c
     they are read.  Of longer ones the leaves become rows, encoded in separate tasks and
     joined per document; only these texts are shuffled.
     """
-    spark, outs = df.sparkSession, list(outputs)
+    spark, outs = small_batches(df.sparkSession), list(outputs)
     shipped = spark.sparkContext.broadcast(definition)  # a tokenizer file: its size does not depend on the data
     rows = df.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["key"]

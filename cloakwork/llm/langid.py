@@ -24,7 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
+
 BITS, SMOOTHING, ROUNDS, PRUNE, PENALTY = 16, 0.5, 20, 0.05, 3.0
+#: Characters of a text looked at at once, which bounds memory on long texts.
+BLOCK = 1 << 17
 _LETTERS: list[np.ndarray] = []
 
 
@@ -39,14 +43,21 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct trigram buckets and their counts; None for a text without a letter."""
     if not text:
         return None
-    points = _letters()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if (points == 32).all():
-        return None
-    kept = points[np.r_[True, (points[1:] != 32) | (points[:-1] != 32)]]  # one blank between words
-    h = kept[:-2] * np.uint32(0x9E3779B1) + kept[1:-1] * np.uint32(0x85EBCA77) + kept[2:] * np.uint32(0xC2B2AE3D)
-    h ^= h >> np.uint32(15)
-    h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
-    return np.unique(h, return_counts=True)
+    text, total, last, carry = f" {text.lower()} ", None, 0, np.zeros(0, np.uint32)
+    for at in range(0, len(text), BLOCK):
+        points = _letters()[np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        kept = points[(points != 32) | (np.r_[last, points[:-1]] != 32)]  # one blank between words
+        last, kept = points[-1], np.concatenate([carry, kept])
+        carry = kept[-2:]
+        h = kept[:-2] * np.uint32(0x9E3779B1) + kept[1:-1] * np.uint32(0x85EBCA77) + kept[2:] * np.uint32(0xC2B2AE3D)
+        h ^= h >> np.uint32(15)
+        h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS)
+        if len(text) <= BLOCK:
+            return np.unique(h, return_counts=True) if (kept != 32).any() else None
+        total = np.bincount(h, minlength=1 << BITS) + (0 if total is None else total)
+        letters = (kept != 32).any() or (at > 0 and letters)
+    buckets = np.flatnonzero(total)
+    return (buckets, total[buckets]) if letters else None
 
 
 class Mixture:
@@ -86,6 +97,7 @@ class Mixture:
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mixture:
     """Counts trigrams per language over all rows with text and a language."""
+    small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +120,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mixt
 def predict(df: DataFrame, model: Mixture, *keep: Column, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, ``lang_pred``, ``score`` and ``mixture`` (shares as a map) per row."""
     rows = df.select(*keep, F.col(text_col).alias("__text"))
-    shipped = df.sparkSession.sparkContext.broadcast((model.langs, model.p))  # languages x 2^16 floats
+    shipped = small_batches(df.sparkSession).sparkContext.broadcast((model.langs, model.p))  # languages x 2^16 floats
     kept = rows.columns[:-1]
     schema = T.StructType(rows.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("mixture", T.MapType(T.StringType(), T.DoubleType()))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ascii_words, stored
+from ._shared import ascii_words, small_batches, stored
 
 TAU, SEGMENTS, SHINGLE, SEED = 3, 8, 3, 42
 BUDGET = [TAU * k // SEGMENTS for k in range(1, SEGMENTS + 1)]
@@ -54,6 +54,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp bigint) per row; fp holds the unsigned fingerprint's bits."""
+    small_batches(df.sparkSession)
     rows = df.select(id_col, text_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
