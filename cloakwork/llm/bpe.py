@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import ASCII_LOWER, Memo, small_batches
 
 #: Characters in a leaf of the tree, tokens on each side of the first window, words remembered.
-LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 300_000
+LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 100_000
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _CODECS: dict[str, Codec] = {}
 #: str.split() also cuts at these, which the tokenizer's white space does not include.
@@ -216,7 +216,7 @@ class Codec:
 def _columns(rows: list[tuple[int, str, str]], outputs: list[str]) -> list[pa.Array]:
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     make = {
-        "ids": lambda: pa.array([[int(i) for i in r[1].split()] for r in rows], pa.list_(pa.int32())),
+        "ids": lambda: pa.ListArray.from_arrays(np.cumsum([0, *(r[0] for r in rows)], dtype=np.int32), np.fromstring(" ".join(r[1] for r in rows if r[0]), np.int32, sep=" ")),
         "decoded": lambda: pa.array([r[2] for r in rows], pa.string()),
         "ids_sha256": lambda: pa.array([sha(r[1]) for r in rows], pa.string()),
         "decoded_sha256": lambda: pa.array([sha(r[2]) for r in rows], pa.string()),
