@@ -2,17 +2,19 @@
 
 All statistics cover every learning document.  Token counts give the unigram base.  The
 neural model is over CLASSES classes: the most frequent tokens, suffix buckets for the
-rest, and the end.  A context of two classes predicts the next one through
+rest, and the end; the word layer below tells the words of a bucket apart.  A context of two classes predicts the next one through
 ``q = r1 A + r2 B`` and scores ``q . t + b``.  Training is by noise-contrastive
 estimation on class-trigram counts gathered from the whole corpus, the noise being the
 class unigrams: for each context the noise expectation is taken over all classes
 instead of drawn samples.  SHARDS tasks train on disjoint sets of contexts from the same
-start, and their parameters are averaged by weight, ROUNDS times.  Sizes of model and
-training table are bounded by CLASSES, not by the corpus.
+start, and their parameters are averaged by weight, ROUNDS times.  Sizes of class
+model and trigram table are bounded by CLASSES; the word layer grows with the corpus.
 
 A token's probability is its class's, normalised over all classes by batched matrix
 products (all contexts at once, since there are CLASSES^2), times the token's share
 within its bucket, with one count added for each type and for all unseen ones together.
+On these the word layer (``lmwords``) builds: it has a vector for each frequent token,
+learned from all positions of the corpus, so both are conditioned on the words themselves.
 
 Tokens with at least 2^-FREQUENT_BITS of all learning tokens (so 2^FREQUENT_BITS at
 most) go to all workers; counts of the others are joined by a shuffle, in which no key
@@ -36,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lmwords
 from ._shared import ascii_words, stored
 
 CLASSES, WORDS, FREQUENT_BITS = 128, 96, 18
@@ -82,6 +85,9 @@ class Vocabulary:
         self.classes = {t.encode(): k for k, t in enumerate(words)} | {END.encode(): END_CLASS}
         self.share = {b: math.log10(1 / (buckets.get(b, (0, 0))[0] + buckets.get(b, (0, 0))[1] + 1)) for b in range(WORDS, WORDS + BUCKETS)}
         self.base_zero = math.log10(1 / (total + types + 1))
+        #: Leaves of the word layer: tokens of buckets come after the classes.
+        self.members = sorted(t.encode() for t in frequent if t.encode() not in self.classes)
+        self.ids = self.classes | {t: CLASSES + k for k, t in enumerate(self.members)}
         #: token: (class, log10 base probability, log10 share within its class)
         self.known = {}
         for t, n in frequent.items():
@@ -133,6 +139,12 @@ def text_classes(v: Vocabulary, words: list[bytes]) -> np.ndarray:
     return np.array([END_CLASS, END_CLASS, *c, END_CLASS], np.int64)
 
 
+def text_ids(v: Vocabulary, words: list[bytes]) -> np.ndarray:
+    """Two ends, the words' leaves, and the end."""
+    ids = v.ids
+    return np.array([END_CLASS, END_CLASS, *(k if (k := ids.get(w)) is not None else bucket(w) for w in words), END_CLASS], np.int64)
+
+
 class LogBilinear:
     NAMES = ("r", "a", "b", "t", "bias")
 
@@ -206,6 +218,16 @@ def train(spark: SparkSession, trigrams: DataFrame) -> LogBilinear:
     return model
 
 
+def word_layer(v: Vocabulary, model: LogBilinear, training: DataFrame, words, text_col: str = "text") -> lmwords.WordLayer:
+    """words: broadcast ``v``."""
+    weight = {b: 10.0**-s for b, s in v.share.items()}
+    known = [v.known[t] for t in v.members]
+    own = [10.0 ** k[2] * weight[k[0]] for k in known]
+    layer = lmwords.WordLayer(model.log10_table(), model.noise * 1e6, [k[0] for k in known], own, weight, (model.r @ model.a, model.r @ model.b))
+    shipped = training.sparkSession.sparkContext.broadcast(layer)
+    return lmwords.train(layer, shipped, training.select(text_col), lambda text: text_ids(words.value, ascii_words(text)))
+
+
 def score(df: DataFrame, training: DataFrame, *keep: Column, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score per row of ``df``."""
     spark = df.sparkSession
@@ -213,7 +235,9 @@ def score(df: DataFrame, training: DataFrame, *keep: Column, text_col: str = "te
     v = vocabulary(counts)
     words = spark.sparkContext.broadcast(v)  # 2^FREQUENT_BITS entries at most
     trigrams = stored(class_trigrams(training, words, text_col), "class_trigrams")
-    model = spark.sparkContext.broadcast(train(spark, trigrams))
+    trained = train(spark, trigrams)
+    model = spark.sparkContext.broadcast(trained)
+    layer = spark.sparkContext.broadcast(word_layer(v, trained, training, words, text_col))  # vectors of 2^FREQUENT_BITS tokens at most
     rows = df.select(F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     names = ["kept", "row", "n_tokens", "n_known", "base", "lm", "rare", "times"]
 
@@ -231,6 +255,8 @@ def score(df: DataFrame, training: DataFrame, *keep: Column, text_col: str = "te
                 hits = [k for k in found if k is not None]
                 c = np.array([END_CLASS, END_CLASS, *(k[0] if k else bucket(w) for w, k in zip(tokens, found, strict=True)), END_CLASS], np.int64)
                 lm = float(table[(c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]].sum(dtype=np.float64))
+                before, last, target = lmwords.positions([text_ids(v, tokens)])
+                lm += math.fsum(layer.value.gains(before, last, target))
                 out.append((len(tokens) + 1, len(hits) + (END.encode() in known), math.fsum(k[1] for k in hits) + end[1], lm + math.fsum(k[2] for k in hits), [w.decode() for w in rare], list(rare.values())))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], names)

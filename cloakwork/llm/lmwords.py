@@ -1,0 +1,189 @@
+"""The word layer of the language model: every token of the vocabulary in contexts and as a target.
+
+The vocabulary is all tokens with a share of their own in ``lm.Vocabulary`` and grows
+with the corpus up to its bound; each suffix bucket is left for the tokens below it.
+A token is reached through binary decisions: first to its class, then, in a bucket, to
+the token or to the bucket's rest.  A decision's log odds start at what the class model
+(for classes) or the counts (in buckets) say, and ``q . t + b`` is added, where
+``q = r1 + r2`` comes from the two tokens before.  All leaves' probabilities sum to one
+whatever the parameters are, and with zero parameters the class model remains.
+
+Each task learns from all positions of its documents, in one pass from the same start;
+parameters' changes are averaged by how often each was touched.
+"""
+
+from __future__ import annotations
+
+import heapq
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Positions scored at once and learned from in a step, tasks of the pass over the corpus at most, rate and damping of steps.
+BLOCK, STEP, TASKS, RATE, DAMP = 16_384, 1024, 64, 0.2, 0.1
+
+
+def huffman(weights: list[float]) -> tuple[list[list[tuple[int, int]]], list[float]]:
+    """Per leaf its (node, side) decisions, and per node the log odds of side +1."""
+    size = len(weights)
+    heap = [(w, k) for k, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up: list[tuple[int, int]] = [(0, 0)] * (2 * size - 1)
+    odds = []
+    while len(heap) > 1:
+        (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+        up[a], up[b] = (size + len(odds), 1), (size + len(odds), -1)
+        heapq.heappush(heap, (wa + wb, size + len(odds)))
+        odds.append(math.log(wa / wb))
+    paths = []
+    for k in range(size):
+        path = []
+        while k != 2 * size - 2:
+            k, side = up[k]
+            path.append((k - size, side))
+        paths.append(path)
+    return paths, odds
+
+
+class WordLayer:
+    """Leaves: 0 .. classes - 1 are classes' own tokens, the end and buckets' rests, then the members of buckets."""
+
+    def __init__(self, table: np.ndarray, unigram: np.ndarray, member_class: list[int], member_weight: list[float], bucket_weight: dict[int, float], start: tuple[np.ndarray, np.ndarray]):
+        """table: log10 probabilities, contexts x classes.  start: the class model's context vectors."""
+        self.classes = classes = table.shape[1]
+        top, _ = huffman((unigram + 1).tolist())
+        left, right = np.zeros((2, classes, classes - 1), np.float32)
+        for c, path in enumerate(top):
+            for node, side in path:
+                (left if side > 0 else right)[c, node] = 1
+        p = 10.0**table
+        self.top = np.log(np.maximum(p @ left, 1e-30)) - np.log(np.maximum(p @ right, 1e-30))
+        self.class_of = np.array([*range(classes), *member_class], np.int32)
+        paths, prior, inside = list(top), [0.0] * (classes - 1), {b: [] for b in bucket_weight}
+        for k, c in enumerate(member_class):
+            inside[c].append(k)
+        paths += [None] * len(member_class)
+        for b, members in inside.items():
+            own = [member_weight[k] for k in members]
+            found, odds = huffman([max(bucket_weight[b] - sum(own), 1.0), *own])
+            for leaf, path in zip([b, *(classes + k for k in members)], found, strict=True):
+                paths[leaf] = top[b] + [(len(prior) + node, side) for node, side in path]
+            prior += odds
+        self.prior = np.array(prior, np.float32)
+        self.size = np.array([len(x) for x in paths])
+        self.at = np.cumsum(self.size) - self.size
+        flat = [x for path in paths for x in path]
+        self.node, self.side = np.array([n for n, _ in flat], np.int32), np.array([s for _, s in flat], np.float32)
+        self.r1, self.r2 = (x[self.class_of].astype(np.float32) for x in start)
+        self.t = np.zeros((len(prior), self.r1.shape[1] + 1), np.float32)  # vectors and biases
+
+    def decisions(self, before: np.ndarray, last: np.ndarray, target: np.ndarray):
+        """Position, node, side and starting log odds of every decision, and the context vectors."""
+        size = self.size[target]
+        position = np.repeat(np.arange(len(target)), size)
+        k = np.arange(len(position)) + np.repeat(self.at[target] - (np.cumsum(size) - size), size)
+        node, odds = self.node[k], self.prior[self.node[k]]
+        high = np.flatnonzero(node < self.classes - 1)
+        context = self.class_of[before] * self.classes + self.class_of[last]
+        odds[high] = self.top[context[position[high]], node[high]]
+        return position, node, self.side[k], odds, self.r1[last] + self.r2[before]
+
+    def gains(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Per position: log10 probability of the target less that under the start."""
+        out = []
+        for k in range(0, len(target), BLOCK):
+            cut = slice(k, k + BLOCK)
+            position, node, side, odds, q = self.decisions(before[cut], last[cut], target[cut])
+            t = self.t[node]
+            z = np.einsum("ij,ij->i", q[position], t[:, :-1]) + t[:, -1]
+            change = np.logaddexp(0, -side * odds) - np.logaddexp(0, -side * (odds + z))
+            out.append(np.bincount(position, change, minlength=len(q)) / math.log(10))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def learner(self) -> Learner:
+        return Learner(self)
+
+
+class Learner:
+    """One task's copy of the parameters, with steps scaled by each one's own past gradients."""
+
+    def __init__(self, layer: WordLayer):
+        self.layer, self.tables = layer, {n: getattr(layer, n).copy() for n in ("r1", "r2", "t")}
+        self.past = {n: np.full_like(x, DAMP) for n, x in self.tables.items()}
+        self.touched = {n: np.zeros(len(x), np.int64) for n, x in self.tables.items()}
+
+    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        edge = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        at, g = rows[order[edge]], np.add.reduceat(gradient[order], edge, axis=0)
+        self.past[name][at] += g * g
+        self.tables[name][at] += RATE * g / np.sqrt(self.past[name][at])
+        self.touched[name][at] += np.diff(np.append(edge, len(rows)))
+
+    def learn(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> None:
+        position, node, side, odds, _ = self.layer.decisions(before, last, target)
+        q = self.tables["r1"][last] + self.tables["r2"][before]
+        t, qs = self.tables["t"][node], q[position]
+        z = odds + np.einsum("ij,ij->i", qs, t[:, :-1]) + t[:, -1]
+        g = (side / (1 + np.exp(np.clip(side * z, -30, 30))))[:, None]
+        first = np.flatnonzero(np.diff(position, prepend=-1))
+        dq = np.add.reduceat(g * t[:, :-1], first, axis=0)  # every leaf has a decision
+        self._step("t", node, np.hstack([g * qs, g]).astype(np.float32))
+        self._step("r1", last, dq)
+        self._step("r2", before, dq)
+
+    def changes(self) -> Iterator[pa.RecordBatch]:
+        """(key, n, changes times n) of what was touched; keys number the rows of r1, r2 and t on."""
+        base = 0
+        for name, x in self.tables.items():
+            at, start = np.flatnonzero(self.touched[name]), getattr(self.layer, name)
+            n = self.touched[name][at]
+            d = np.zeros((len(at), self.layer.t.shape[1]), np.float32)
+            d[:, : x.shape[1]] = (x[at] - start[at]) * n[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(at + base, pa.int64()), pa.array(n.astype(np.float64)), *(pa.array(c.astype(np.float64)) for c in d.T)], ["key", "n", *(f"d{k}" for k in range(d.shape[1]))])
+            base += len(x)
+
+
+def train(layer: WordLayer, shipped, docs: DataFrame, ids_of) -> WordLayer:
+    """Learns from all of ``docs`` (one text column).  shipped: broadcast layer.  ids_of: text to leaf numbers with two ends ahead."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, held, size = shipped.value.learner(), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(ids_of(text))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    _learn(learner, held)
+                    held, size = [], 0
+        if held:
+            _learn(learner, held)
+        yield from learner.changes()
+
+    columns = [f"d{k}" for k in range(layer.t.shape[1])]
+    rows = docs.coalesce(TASKS).mapInArrow(fit, "key bigint, n double, " + ", ".join(f"{c} double" for c in columns))
+    mean = rows.groupBy("key").agg(*((F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns)).toArrow()  # a row per parameter row
+    keys = mean.column("key").to_numpy()
+    changes = np.stack([mean.column(c).to_numpy() for c in columns], axis=1) if len(keys) else np.zeros((0, len(columns)), np.float32)
+    base = 0
+    for name in ("r1", "r2", "t"):
+        x = getattr(layer, name).copy()
+        own = (keys >= base) & (keys < base + len(x))
+        x[keys[own] - base] += changes[own][:, : x.shape[1]]
+        base += len(x)
+        setattr(layer, name, x)
+    return layer
+
+
+def positions(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[k : len(x) - 2 + k] for x in texts]) for k in range(3))
+
+
+def _learn(learner: Learner, texts: list[np.ndarray]) -> None:
+    before, last, target = positions(texts)
+    for k in range(0, len(target), STEP):
+        learner.learn(before[k : k + STEP], last[k : k + STEP], target[k : k + STEP])
