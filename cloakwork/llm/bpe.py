@@ -13,7 +13,8 @@ Short texts are encoded word by word: this kind of tokenizer never merges across
 white space, so distinct words are encoded once per worker and remembered in a
 bounded table.  Words longer than a leaf go through the tree.  In the same way a leaf's
 middle, between white space near its edges, is settled at once; only its head and tail
-keep their tokens for the windows.  A leaf without white space there keeps all of them.
+keep tokens and spans for the windows.  A leaf without white space there keeps all of
+them.  All of this happens in the leaf's own task: joining a document encodes windows only.
 
 Defined results: null text counts as empty; empty text gives no ids and an empty
 decoded text; repeated rows give repeated results; further columns are ignored.
@@ -22,25 +23,32 @@ decoded text; repeated rows give repeated results; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_LOWER, Memo, small_batches
+from ._shared import ASCII_LOWER, small_batches
 
 #: Characters in a leaf of the tree, tokens on each side of the first window, words remembered.
-LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 100_000
+LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 300_000
+#: Words in one call of the library, and characters of texts whose unseen words are learned together.
+LEARN_WORDS, BLOCK_CHARS = 4096, 1 << 20
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _CODECS: dict[str, Codec] = {}
 #: str.split() also cuts at these, which the tokenizer's white space does not include.
 _ODD = re.compile("[\x1c-\x1f]")
-#: A mark after a letter and before white space is a token of its own.
-_MARK = re.compile(rb"([.,])(?=[ \n]|\Z)(?<=[a-z][.,])")
+#: Signs between a letter and white space are a pre-token of their own.
+_MARKS = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \n]|\Z)")
+#: Words that are one pre-token: no normalisation changes these letters.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Characters at a leaf's edges that keep their tokens, for the windows around joins.
 EDGE = 512
 
@@ -56,11 +64,67 @@ class Encoded:
     def __len__(self):
         return len(self.ids)
 
+    def packed(self) -> bytes:
+        return np.stack([self.ids, self.start, self.end]).astype("<i4").tobytes()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Encoded:
+        return Encoded(*np.frombuffer(data, "<i4").reshape(3, -1))
+
     def clean(self, i: int) -> bool:
         """Whether the cut before token i falls between characters."""
         return i <= 0 or i >= len(self) or self.end[i - 1] <= self.start[i]
 
 
+def _ragged(ids: np.ndarray, cuts: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces numbered ``k`` of an array cut at ``cuts``, one after another, and their sizes."""
+    sizes = cuts[k + 1] - cuts[k]
+    return ids[np.arange(sizes.sum()) + np.repeat(cuts[k] - (np.cumsum(sizes) - sizes), sizes)], sizes
+
+
+class WordTable:
+    """Ids of known words, in two generations: when the young one is full, it becomes the old one, and what is asked for again is taken over."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.cuts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after another, and how many each has."""
+        return _ragged(self.ids, self.cuts, k)
+
+    def ids_of(self, words: list[str], learn) -> tuple[np.ndarray, np.ndarray]:
+        """As ``take``, of words as they stand; ``learn`` adds those that neither generation has."""
+        n = len(words)
+        k = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, n)
+        missing = np.flatnonzero(k < 0).tolist()
+        if not missing:
+            return self.take(k)
+        new = {words[i] for i in missing}
+        if len(self.at) + len(new) > self.size:
+            self.old = (self.at, self.ids, self.cuts)
+            self._clear()
+            missing, new = range(n), set(words)
+        if self.old is not None:
+            at, ids, cuts = self.old
+            again = [w for w in new if w in at]
+            self.add(again, *_ragged(ids, cuts, np.fromiter(map(at.__getitem__, again), np.int64, len(again))))
+            new.difference_update(again)
+        if new:
+            learn(sorted(new))
+        k[missing] = np.fromiter(map(self.at.__getitem__, (words[i] for i in missing)), np.int64, len(missing))
+        return self.take(k)
+
+
 class Codec:
     def __init__(self, definition: str, leaf_chars: int = LEAF_CHARS, window: int = WINDOW):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,9 +134,13 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf_chars, self.window = leaf_chars, window
-        self.memo = Memo(MEMO_WORDS)
+        self.table = WordTable(MEMO_WORDS)
         self.by_word = self.library.decoder is None
-        self.tokens: dict[int, str] = {}
+        names = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.names, self.numbers = pa.array(names, pa.string()), pa.array(map(str, range(len(names))), pa.string())
+        mark = json.loads(definition)["model"].get("end_of_word_suffix")
+        #: Which tokens end a pre-token, if the tokenizer says so.
+        self.ends = np.array([n is not None and n.endswith(mark) for n in names]) if mark else None
 
     @staticmethod
     def of(definition: str) -> Codec:
@@ -143,85 +211,113 @@ class Codec:
             leaves = up + ([leaves[-1]] if len(leaves) % 2 else [])
         return leaves[0][2]
 
-    def decode(self, ids) -> str:
+    def joined(self, ids: list[np.ndarray], names: pa.Array) -> pa.Array:
+        """Per text the names of its ids, joined by spaces."""
+        cuts = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(cuts, names.take(pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))), " ")
+
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
         """What the library's decode() gives, special tokens kept."""
-        if self.library.decoder is not None:
-            return self.library.decode([int(i) for i in ids], skip_special_tokens=False)
-        seen, name = self.tokens, self.library.id_to_token
-        return " ".join([seen[i] if i in seen else seen.setdefault(i, name(i)) for i in map(int, ids)])
+        if self.library.decoder is None:
+            return self.joined(ids, self.names)
+        return pa.array([self.library.decode(i.tolist(), skip_special_tokens=False) for i in ids], pa.string())
 
     def _learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= self.leaf_chars]
-        got = [e.ids for e in self.library.encode_batch_fast(short, add_special_tokens=False)]
+        """Encode unseen words, LEARN_WORDS in a call of the library.
+
+        Words of plain lower-case letters are one pre-token each, and only a pre-token's last
+        token ends in the end mark, so many of them can be encoded as one text.
+        """
+        rest, plain = [], []
         for w in words:
-            if len(w) > self.leaf_chars:
-                short.append(w)
-                got.append(self.tree(w).ids.tolist())
-        for w, ids in zip(short, got, strict=True):
-            self.memo.young[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-
-    def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, decoded text) of each text."""
-        for text in texts:
-            if not self.by_word or _ODD.search(text):
-                ids = self.tree(text).ids.tolist()
-                yield len(ids), " ".join(map(str, ids)), self.decode(ids)
-                continue
-            if "<|" not in text:  # special tokens are told by case; all else is lower-cased anyway
-                text = _MARK.sub(rb" \1", text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER)).decode("utf-8", "surrogatepass")
-            words = text.split()
-            if not words:
-                yield 0, "", ""
-                continue
-            found = list(map(self.memo.young.get, words))
-            if None in found:
-                self._learn(self.memo.missing(words))
-                found = map(self.memo.young.__getitem__, words)
-            sizes, ids, decoded = zip(*found, strict=True)
-            if 0 in sizes:
-                ids, decoded = filter(None, ids), filter(None, decoded)
-            yield sum(sizes), " ".join(ids), " ".join(decoded)
+            (plain if self.ends is not None and len(w) <= self.leaf_chars and _PLAIN.fullmatch(w) else rest).append(w)
+        for k in range(0, len(plain), LEARN_WORDS):
+            part = plain[k : k + LEARN_WORDS]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):
+                raise ValueError("a plain word has more than one pre-token")
+            self.table.add(part, ids, np.diff(last, prepend=-1))
+        for k in range(0, len(rest), LEARN_WORDS):
+            part = rest[k : k + LEARN_WORDS]
+            short = [w for w in part if len(w) <= self.leaf_chars]
+            got = [e.ids for e in self.library.encode_batch_fast(short, add_special_tokens=False)]
+            for w in part:
+                if len(w) > self.leaf_chars:
+                    short.append(w)
+                    got.append(self.tree(w).ids.tolist())
+            self.table.add(short, np.array(list(chain.from_iterable(got)), np.int32), np.array([len(g) for g in got], np.int64))
+
+    def _words(self, text: str) -> list[str]:
+        if "<|" not in text:  # special tokens are told by case; all else is lower-cased anyway
+            text = _MARKS.sub(rb" \1", text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER)).decode("utf-8", "surrogatepass")
+        return text.split()
+
+    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; unseen words are learned for BLOCK_CHARS of texts at once."""
+        at = 0
+        while at < len(texts):
+            end, size, words = at, 0, []
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_CHARS):
+                size += len(texts[end])
+                words.append(self._words(texts[end]) if self.by_word and not _ODD.search(texts[end]) else None)
+                end += 1
+            ids, sizes = self.table.ids_of(list(chain.from_iterable(w for w in words if w)), self._learn)
+            ends, tokens, k = np.concatenate([[0], np.cumsum(sizes)]), 0, 0
+            for text, mine in zip(texts[at:end], words, strict=True):
+                if mine is None:
+                    yield self.tree(text).ids.astype(np.int32)
+                else:
+                    k += len(mine)
+                    yield ids[tokens : ends[k]]
+                    tokens = ends[k]
+            at = end
 
     def edges(self, leaf: str) -> tuple[int, int]:
         """Where a leaf's head ends and its tail starts, at white space; (0, 0) if it has none there."""
         head, tail = leaf.find(" ", EDGE), leaf.rfind(" ", 0, max(0, len(leaf) - EDGE))
         return (head, tail) if self.by_word and 0 < head < tail and not _ODD.search(leaf) else (0, 0)
 
-    def leaf(self, leaf: str) -> tuple[str, np.ndarray, str]:
-        """Head, ids of the middle, tail; a leaf without white space at its edges is all head."""
+    def leaf(self, leaf: str) -> tuple[str, Encoded, np.ndarray, str, Encoded]:
+        """Head and its encoding, ids of the middle, tail and its encoding; a leaf without white space at its edges is all head."""
         a, b = self.edges(leaf)
         if not a:
-            return leaf, np.zeros(0, np.int32), ""
-        return leaf[:a], np.array(next(iter(self.batch([leaf[a:b]])))[1].split(), np.int32), leaf[b:]
-
-    def whole(self, leaves: list[tuple[str, np.ndarray, str]]) -> list[int]:
-        """Ids of the text whose leaves these are: between two middles stand a tail and heads, joined as a tree."""
-        ids: list[int] = []
-        run: list[str] = []
-        for head, middle, tail in leaves:
-            run.append(head)
+            return leaf, self.plain(leaf), np.zeros(0, np.int32), "", self.plain("")
+        middle = next(iter(self.batch([leaf[a:b]])))
+        return leaf[:a], self.plain(leaf[:a]), middle, leaf[b:], self.plain(leaf[b:])
+
+    def whole(self, leaves: list[tuple[str, Encoded, np.ndarray, str, Encoded]]) -> np.ndarray:
+        """Ids of the text whose encoded leaves these are: between two middles stand a tail and heads, joined as a tree."""
+        ids: list[np.ndarray] = []
+        run: list[tuple[str, Encoded]] = []
+        for head, encoded_head, middle, tail, encoded_tail in leaves:
+            run.append((head, encoded_head))
             if tail:
-                ids += self._run(run) + middle.tolist()
-                run = [tail]
-        return ids + self._run(run)
+                ids += [self._run(run), middle]
+                run = [(tail, encoded_tail)]
+        return np.concatenate([*ids, self._run(run)]).astype(np.int32)
+
+    def _run(self, pieces: list[tuple[str, Encoded]]) -> np.ndarray:
+        """Only windows around the joins are encoded here."""
+        text, parts, at = "".join(t for t, _ in pieces), [], 0
+        for t, e in pieces:
+            parts.append((at, at + len(t), Encoded(e.ids, e.start + at, e.end + at)))
+            at += len(t)
+        return self.concatenate(text, parts).ids
+
 
-    def _run(self, pieces: list[str]) -> list[int]:
-        text, parts, at = "".join(pieces), [], 0
-        for p in pieces:
-            parts.append((at, at + len(p), self.plain(p, at)))
-            at += len(p)
-        return self.concatenate(text, parts).ids.tolist()
+def _sha256(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in texts], pa.string())
 
 
-def _columns(rows: list[tuple[int, str, str]], outputs: list[str]) -> list[pa.Array]:
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+def _columns(codec: Codec, ids: list[np.ndarray], outputs: list[str]) -> list[pa.Array]:
     make = {
-        "ids": lambda: pa.ListArray.from_arrays(np.cumsum([0, *(r[0] for r in rows)], dtype=np.int32), np.fromstring(" ".join(r[1] for r in rows if r[0]), np.int32, sep=" ")),
-        "decoded": lambda: pa.array([r[2] for r in rows], pa.string()),
-        "ids_sha256": lambda: pa.array([sha(r[1]) for r in rows], pa.string()),
-        "decoded_sha256": lambda: pa.array([sha(r[2]) for r in rows], pa.string()),
+        "ids": lambda: pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))),
+        "decoded": lambda: codec.decode(ids),
+        "ids_sha256": lambda: _sha256(codec.joined(ids, codec.numbers)),
+        "decoded_sha256": lambda: _sha256(codec.decode(ids)),
     }
-    return [pa.array([r[0] for r in rows], pa.int64())] + [make[o]() for o in outputs]
+    return [pa.array([len(i) for i in ids], pa.int64())] + [make[o]() for o in outputs]
 
 
 def encode_decode(df: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -242,7 +338,7 @@ def encode_decode(df: DataFrame, definition: str, id_col: str = "doc_id", text_c
         codec = Codec.of(shipped.value)
         for batch in batches:
             got = list(codec.batch(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(got, outs)], ["key", "n_tokens", *outs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(codec, got, outs)], ["key", "n_tokens", *outs])
 
     leaves = (
         rows.where(long)
@@ -255,17 +351,17 @@ def encode_decode(df: DataFrame, definition: str, id_col: str = "doc_id", text_c
         codec = Codec.of(shipped.value)
         for batch in batches:
             got = [codec.leaf(t) for t in batch.column("text").to_pylist()]
-            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "leaf")), *new], ["row", "key", "leaf", "head", "middle", "tail"])
+            kinds = (("head", pa.string(), 0), ("head_ids", pa.binary(), 1), ("middle", pa.binary(), 2), ("tail", pa.string(), 3), ("tail_ids", pa.binary(), 4))
+            raw = [[g.packed() if isinstance(g, Encoded) else g.astype("<i4").tobytes() if isinstance(g, np.ndarray) else g for g in x] for x in got]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "leaf")), *(pa.array([r[k] for r in raw], t) for _, t, k in kinds)], ["row", "key", "leaf", *(n for n, _, _ in kinds)])
 
-    encoded = leaves.mapInArrow(encode_leaves, f"row bigint, key {kind}, leaf int, head string, middle binary, tail string")
+    encoded = leaves.mapInArrow(encode_leaves, f"row bigint, key {kind}, leaf int, head string, head_ids binary, middle binary, tail string, tail_ids binary")
 
     def concatenate(group: pa.Table) -> pa.Table:
         codec = Codec.of(shipped.value)
-        found = sorted(group.select(["leaf", "head", "middle", "tail"]).to_pylist(), key=lambda r: r["leaf"])
-        ids = codec.whole([(r["head"], np.frombuffer(r["middle"], np.int32), r["tail"]) for r in found])
-        got = [(len(ids), " ".join(map(str, ids)), codec.decode(ids))]
-        return pa.Table.from_arrays([group.column("key").slice(0, 1).combine_chunks(), *_columns(got, outs)], ["key", "n_tokens", *outs])
+        found = sorted(group.drop_columns(["row", "key"]).to_pylist(), key=lambda r: r["leaf"])
+        ids = codec.whole([(r["head"], Encoded.unpacked(r["head_ids"]), np.frombuffer(r["middle"], "<i4"), r["tail"], Encoded.unpacked(r["tail_ids"])) for r in found])
+        return pa.Table.from_arrays([group.column("key").slice(0, 1).combine_chunks(), *_columns(codec, [ids], outs)], ["key", "n_tokens", *outs])
 
     both = rows.where(~long).mapInArrow(whole, schema).unionByName(encoded.groupBy("row").applyInArrow(concatenate, schema))
     return both.withColumnRenamed("key", id_col)

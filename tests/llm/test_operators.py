@@ -69,7 +69,26 @@ def test_tree_equals_whole(definition):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 900)))
         ids = codec.library.encode(text, add_special_tokens=False).ids
         assert codec.tree(text).ids.tolist() == ids
-        assert list(codec.batch([text])) == [(len(ids), " ".join(map(str, ids)), codec.library.decode(ids, skip_special_tokens=False))]
+        got = list(codec.batch([text]))
+        assert [g.tolist() for g in got] == [ids] and codec.decode(got).to_pylist() == [codec.library.decode(ids, skip_special_tokens=False)]
+
+
+def test_word_table_turns_over(definition):
+    codec = bpe.Codec(definition)
+    codec.table = bpe.WordTable(40)
+    random.seed(4)
+    pool = ["".join(random.choice("abcdeüÜ.,$é1'") for _ in range(random.randint(1, 9))) for _ in range(150)]
+    for _ in range(60):
+        texts = [" ".join(random.choices(pool, k=random.randint(0, 30))) for _ in range(4)]
+        assert [g.tolist() for g in codec.batch(texts)] == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_leaves_ship_their_encoding(definition):
+    codec = bpe.Codec(definition, leaf_chars=2000)
+    for text in ("abcdefg hij" * 900, "x" * 9001, "ab'sé " * 1500 + "y" * 5000, ""):
+        leaves = [codec.leaf(text[a : a + 2000]) for a in range(0, len(text), 2000)] or [codec.leaf("")]
+        assert codec.whole(leaves).tolist() == codec.library.encode(text, add_special_tokens=False).ids
+        assert all(len(head) <= bpe.EDGE + 20 or (e.ids.size and not middle.size) for head, e, middle, _, _ in leaves)
 
 
 def test_url_filter(spark):
