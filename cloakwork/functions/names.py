@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 #: Names that a lexicon may hold at most, as each worker keeps it in memory.
 LEXICON_LIMIT = 1_000_000
-NAME_SPAN = "array<struct<s:int,m:string,confidence:string>>"
+NAME_SPANS = "array<struct<s:int,m:string,confidence:string>>"
+CONFIDENCES = ("low", "medium", "high")
 
 
 def _set(text: str) -> frozenset[str]:
@@ -65,14 +66,17 @@ ORG_ENDINGS = _set(
     "cloud studio code platform support report plan airways airlines telecom media news department dept division team office committee board directorate sector unit"
 )
 ORG_HEADS_AR = _set("شارع طريق مدينة منطقة حي جزيرة إمارة امارة مطار ميناء مركز مول برج مسجد جامع جامعة كلية مدرسة معهد أكاديمية اكاديمية مستشفى عيادة فندق بنك مصرف شركة مؤسسة مجموعة وزارة هيئة دائرة مجلس بلدية محكمة محاكم نادي ملعب متحف مكتبة سوق محطة حديقة منتزه قسم إدارة ادارة فرع مشروع")
-PLACES = tuple(
-    p.strip()
-    for p in (
-        "abu dhabi, al ain, ras al khaimah, umm al quwain, al dhafra, al reem, al barsha, al quoz, al nahda, al qusais, al karama, al mamzar, jumeirah lake towers, business bay, downtown dubai, palm jumeirah, "
-        "dubai silicon oasis, saudi arabia, united arab emirates, united states, united kingdom, new york, new jersey, new delhi, new zealand, san francisco, los angeles, las vegas, san diego, san jose, hong kong, "
-        "sri lanka, south africa, north america, south america, costa rica, el salvador, puerto rico, rio de janeiro, buenos aires, kuala lumpur, cape town, saint petersburg, tel aviv, أبو ظبي, ابو ظبي, رأس الخيمة, راس الخيمة, أم القيوين, ام القيوين"
-    ).split(",")
-)
+PLACES = (
+    "abu dhabi", "al ain", "ras al khaimah", "umm al quwain", "al dhafra", "al reem", "al barsha", "al quoz", "al nahda", "al qusais", "al karama", "al mamzar", "jumeirah lake towers", "business bay",
+    "downtown dubai", "palm jumeirah", "dubai silicon oasis", "saudi arabia", "united arab emirates", "united states", "united kingdom", "new york", "new jersey", "new delhi", "new zealand",
+    "san francisco", "los angeles", "las vegas", "san diego", "san jose", "hong kong", "sri lanka", "south africa", "north america", "south america", "costa rica", "el salvador", "puerto rico",
+    "rio de janeiro", "buenos aires", "kuala lumpur", "cape town", "saint petersburg", "tel aviv",
+)
+#: Whole runs of Arabic words.
+PLACES_AR = (
+    "أبو ظبي", "ابو ظبي", "رأس الخيمة", "راس الخيمة", "أم القيوين", "ام القيوين", "الإمارات العربية المتحدة", "الامارات العربية المتحدة", "المملكة العربية السعودية", "المملكة المتحدة",
+    "الولايات المتحدة", "الولايات المتحدة الأمريكية",
+)
 GREETINGS = "hi|hello|hey|dear|thanks|thank you|thx|cheers|regards|kind regards|best regards|best wishes|sincerely|bye|welcome|congrats|congratulations"
 TITLES = "mr|mrs|ms|miss|mx|dr|prof|eng|sheikh|sheikha|attn"
 SALUTATIONS_AR = _set("السيد السيدة الآنسة الانسة الأستاذ الاستاذ الأستاذة الاستاذة الدكتور الدكتورة د المهندس المهندسة م الشيخ الشيخة سعادة معالي سمو الأخ الاخ الأخت الاخت عزيزي عزيزتي مرحبا أهلا اهلا شكرا تحياتي المرسل المستلم")
@@ -170,14 +174,18 @@ def organisation(words: list[str]) -> bool:
     clean = [w for w in clean if w]
     if not clean:
         return False
-    line = f" {' '.join(clean)} "
-    return clean[0] in ORG_HEADS_AR or clean[-1] in ORG_ENDINGS or any(f" {p} " in line for p in PLACES)
+    line = " ".join(clean)
+    if _ARABIC.search(line):
+        return clean[0] in ORG_HEADS_AR or line in PLACES_AR
+    return clean[-1] in ORG_ENDINGS or any(f" {p} " in f" {line} " for p in PLACES)
 
 
 _SHAPE = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}'’. -]*(?:, ?[\p{L}\p{M}][\p{L}\p{M}'’. -]*)?")
 _WORD = r"(?:[A-Z]['’][A-Z][a-z]+|(?:Mc|Mac)?[A-Z][a-z]+(?:-[A-Z]?[a-z]+)*)"
 _RUN = regex.compile(rf"\b(?!(?:{GREETINGS.title()}|{TITLES.title()}|Thank|Kind|Best)\b){_WORD}(?:[ \t]+(?:(?:bin|bint|ibn|al|el|de|del|dela|della|da|das|dos|du|van|von|der|den|le|la|di|y)[ \t]+){{0,2}}{_WORD})+\b", regex.A)
 _CUE = regex.compile(CUE, regex.I)
+#: The start of a Markdown heading: a title of a section, not a person.
+_HEADING = regex.compile(r"\s{0,3}#{1,6}\s[^\n]*")
 _PAIR = regex.compile(r"""(["'])([^"'\n]{1,48})\1[ \t]*[:=][ \t]*(["'])((?:(?!\3)[^\\\n]|\\.){0,120})\3""")
 _LABEL = regex.compile(r"^[ \t]*(?:[-*•][ \t]+)?([\p{L}_][\p{L}\p{M}\p{N} _.$-]{0,48}?)[ \t]*([:：=])[ \t]*(?![:=/])([^\n]+)$", regex.M)
 _SALUTATION = regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:({GREETINGS})|({TITLES}))(?![\p{{L}}\p{{M}}])\.?[ \t]*[,:!]?[ \t]*(?:\r?\n[ \t]*)?([A-Za-zÀ-ɏ][\w'’-]*)", regex.I)
@@ -206,9 +214,9 @@ class Finder:
         return len(cases) <= 1 and "mixed" not in cases and any(map(self.lexicon.is_sure, words))
 
     def field_values(self, text: str) -> Iterator[tuple[str, int, str]]:
-        for m in _PAIR.finditer(text):
+        for m in _PAIR.finditer(text) if '"' in text or "'" in text else ():
             yield m[2], m.start(4), m[4]
-        for m in _LABEL.finditer(text):
+        for m in _LABEL.finditer(text) if any(c in text for c in ":=：") else ():
             key, rest = m[1], m[3]
             if m[2] == "=" and key.split():
                 key = key.split()[-1]
@@ -242,6 +250,8 @@ class Finder:
                 continue
             outer = mark == "|" and regex.fullmatch(r"\s*\|.*\|\s*", lines[0][1]) is not None
             header = self.cells(lines[0][1], mark, outer)
+            if not any(key_grade(key) for _, key in header):
+                continue
             rows = [(s, self.cells(x, mark, outer)) for s, x in lines[1:] if not regex.match(r"\s*\|?\s*:?-{2,}", x)]
             even = [r for r in rows if len(r[1]) == len(header)]
             if len(header) >= 2 and rows and len(even) >= 0.6 * len(rows):
@@ -284,7 +294,10 @@ class Finder:
                 return False
         if organisation(words):
             return False
-        return bool(_CUE.search(text[max(0, at - 24) : at])) or not all(map(self.lexicon.is_ordinary, words))
+        if _CUE.search(text[max(0, at - 24) : at]):
+            return True
+        line = text[text.rfind("\n", 0, at) + 1 : at]
+        return not _HEADING.fullmatch(line) and not all(map(self.lexicon.is_ordinary, words))
 
     def title_case(self, text: str) -> Iterator[tuple[int, str, str]]:
         for m in _RUN.finditer(text):
@@ -300,6 +313,8 @@ class Finder:
     def caseless(self, text: str) -> Iterator[tuple[int, str, str]]:
         """Runs of two to five listed names in one case, a given name first."""
         lex, run = self.lexicon, []
+        if not any(lex.is_given(w) for w in set(_LATIN.findall(text)) if w.islower() or w.isupper()):
+            return
 
         def settle() -> Iterator[tuple[int, str, str]]:
             while run and run[-1][0].lower() in PARTICLES:
@@ -381,21 +396,14 @@ def _disjoint(found: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     return out
 
 
-#: Texts that none of these can match hold no name of that kind.
-POSSIBLE = {
-    "full_name": r"[A-Za-zÀ-ɏ]",
-    "non_latin_name": r"[ء-ٟٮ-ۿݐ-ݿࢠ-ࣿ]",
-}
-
-
-def spans_of(text: Column, id: str, lexicon: Lexicon | None = None) -> Column:
-    """array<struct<s, m, confidence>> of the names of one kind; sent to Python only where they are possible."""
+def spans_of(text: Column, lexicon: Lexicon | None = None) -> Column:
+    """struct<full_name, non_latin_name> of arrays of spans, both found in one pass.  Texts without a letter stay in the JVM."""
     lexicon = lexicon or Lexicon()
 
-    @F.pandas_udf(NAME_SPAN)
-    def find(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(f"struct<full_name:{NAME_SPANS},non_latin_name:{NAME_SPANS}>")
+    def find(texts: pd.Series) -> pd.DataFrame:
         finder = Finder(lexicon)
-        kind = finder.latin if id == "full_name" else finder.arabic
-        return pd.Series([[{"s": s, "m": v, "confidence": c} for s, v, c in kind(t)] if t else [] for t in texts])
+        kinds = {"full_name": (_LATIN, finder.latin), "non_latin_name": (_ARABIC, finder.arabic)}
+        return pd.DataFrame({k: [[{"s": s, "m": m, "confidence": c} for s, m, c in run(t)] if t and script.search(t) else [] for t in texts] for k, (script, run) in kinds.items()})
 
-    return find(F.when(text.rlike(POSSIBLE[id]), text))
+    return find(F.when(text.rlike(r"\p{L}"), text))

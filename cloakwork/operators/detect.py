@@ -2,57 +2,95 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, spans
 from ..registry import ORDER, Detector, select
 
-ELEMENT = "struct<s:int,e:int,ord:int,id:string,m:string>"
+ELEMENT = "struct<s:int,e:int,ord:int,id:string,m:string,c:string>"
+TEXT, NAMES, PLACED = "__text", "__names", "__placed"
+
+
+def _possible(text: Column, detector: Detector) -> Column:
+    return text.rlike(detector.literal) if detector.literal else F.lit(True)
 
 
-def matches(text: Column, detector: Detector) -> Column:
+def matches(text: Column, detector: Detector, found: Column | None = None) -> Column:
     """Confirmed matches of one detector; texts without its literal skip the pattern.
 
-    Detectors without a pattern are those of names, found by a kernel.
+    Detectors without a pattern are those of names, found by a kernel; found: the matches
+    where they are known already.
     """
     if detector.pattern is None:
-        return F.coalesce(names.spans_of(text, detector.id), F.array().cast(names.NAME_SPAN))
-    found = spans.find_all(text, detector.pattern)
-    if detector.confirm:
-        found = F.filter(found, lambda x: detector.confirm(text, x["s"], x["m"]))
-    possible = text.rlike(detector.literal) if detector.literal else F.lit(True)
-    return F.when(possible, found).otherwise(F.array().cast(spans.SPAN))
+        return F.coalesce(names.spans_of(text)[detector.id] if found is None else found, F.array().cast(names.NAME_SPANS))
+    if found is None:
+        found = F.when(_possible(text, detector), spans.find_all(text, detector.pattern)).otherwise(F.array().cast(spans.SPAN))
+    return F.filter(found, lambda x: detector.confirm(text, x["s"], x["m"])) if detector.confirm else found
 
 
-def candidates(text: Column, detector: Detector, whitelist: tuple[str, ...] = ()) -> Column:
-    """Spans to replace: the value within each match where the detector names one."""
+def candidates(text: Column, detector: Detector, whitelist: tuple[str, ...] = (), min_confidence: str | None = None, placed: Column | None = None) -> Column:
+    """Spans to replace: the value within each match where the detector names one.
+
+    min_confidence: ``low``, ``medium`` or ``high``; drops names found with less.  Other
+    detectors have no confidence and keep their matches.
+    """
+    named = detector.pattern is None
 
     def span(x: Column) -> Column:
         m = x["m"]
         value = detector.value(m) if detector.value else m
         tail = detector.tail(m) if detector.tail else F.lit(0)
         end = x["s"] + F.length(m) - tail
-        return F.struct((end - F.length(value)).cast("int").alias("s"), end.cast("int").alias("e"), F.lit(ORDER.get(detector.id, len(ORDER))).alias("ord"), F.lit(detector.id).alias("id"), value.alias("m"))
+        confidence = x["confidence"] if named else F.lit(None).cast("string")
+        return F.struct((end - F.length(value)).cast("int").alias("s"), end.cast("int").alias("e"), F.lit(ORDER.get(detector.id, len(ORDER))).alias("ord"), F.lit(detector.id).alias("id"), value.alias("m"), confidence.alias("c"))
 
-    found = matches(text, detector)
+    found = matches(text, detector, placed)
+    if named and min_confidence:
+        found = F.filter(found, lambda x: x["confidence"].isin(*names.CONFIDENCES[names.CONFIDENCES.index(min_confidence) :]))
     if whitelist:
         found = F.filter(found, lambda x: ~x["m"].isin(*whitelist))
     out = F.transform(found, span)
     return F.filter(out, lambda x: ~x["m"].isin(*whitelist)) if whitelist else out
 
 
-def with_spans(df: DataFrame, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), out: str = "spans") -> DataFrame:
-    """Add the resolved spans of all detectors.  Each detector is a column of its own, so expressions stay small."""
+@functools.lru_cache(maxsize=64)
+def _columns(jvm: int, detectors: tuple[Detector, ...], whitelist: tuple[str, ...], min_confidence: str | None) -> tuple[Column, tuple[tuple[str, Column], ...]]:
+    """All patterns' matches as one array, and each detector's candidates over TEXT and that array.
+
+    One expression places the matches of all patterns, so plans stay small.  Expressions
+    take seconds to build, so they are kept for as long as their JVM.
+    """
+    text = F.col(TEXT)
+    rx = [d for d in detectors if d.pattern is not None]
+    placed = F.transform(F.array(*(F.when(_possible(text, d), spans.pieces(text, d.pattern)) for d in rx)), spans.place) if rx else F.lit(None)
+    at = {d.id: F.get(F.col(PLACED), F.lit(k)) for k, d in enumerate(rx)}
+    return placed, tuple((d.id, candidates(text, d, whitelist, min_confidence, at.get(d.id, F.col(NAMES)[d.id]))) for d in detectors)
+
+
+def with_spans(df: DataFrame, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), out: str = "spans", min_confidence: str | None = None, allow: dict[str, Column] | None = None) -> DataFrame:
+    """Add the resolved spans of all detectors.  Each detector is a column of its own, so expressions stay small.
+
+    allow: detectors that run only on the rows where their condition holds.
+    """
     detectors = detectors or select()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    each = df.withColumns({f"__c_{d.id}": candidates(text, d, whitelist) for d in detectors})
-    joined = each.withColumn("__all", F.flatten(F.array(*(F.col(f"__c_{d.id}") for d in detectors)))).drop(*(f"__c_{d.id}" for d in detectors))
-    return joined.withColumn(out, F.when(F.size("__all") > 0, spans.resolve(F.col("__all"), ELEMENT)).otherwise(F.array().cast(f"array<{ELEMENT}>"))).drop("__all")
+    rows = df.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit("")))
+    if any(d.pattern is None for d in detectors):
+        rows = rows.withColumn(NAMES, names.spans_of(F.col(TEXT)))
+    none = F.array().cast(f"array<{ELEMENT}>")
+    placed, own = _columns(id(SparkContext._gateway), detectors, whitelist, min_confidence)
+    each = rows.withColumn(PLACED, placed).withColumns({f"__c_{i}": F.when(allow[i], found).otherwise(none) if allow and i in allow else found for i, found in own})
+    joined = each.withColumn("__all", F.flatten(F.array(*(F.col(f"__c_{d.id}") for d in detectors)))).drop(TEXT, NAMES, PLACED, *(f"__c_{d.id}" for d in detectors))
+    return joined.withColumn(out, F.when(F.size("__all") > 0, spans.resolve(F.col("__all"), ELEMENT)).otherwise(none)).drop("__all")
 
 
-def findings(df: DataFrame, key: str, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = ()) -> DataFrame:
-    """One row per finding: key, id, start, end, line, original.  No shuffle."""
-    found = with_spans(df.select(key, text_col), text_col, detectors, whitelist)
-    rows = found.where(F.size("spans") > 0).select(key, F.explode(F.transform("spans", lambda x: F.struct(x["id"].alias("id"), x["s"].alias("start"), x["e"].alias("end"), spans.line_number(F.col(text_col), x["s"]).alias("line"), x["m"].alias("original")))).alias("f"))
-    return rows.select(key, "f.*")
+def findings(df: DataFrame, key: str, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), min_confidence: str | None = None) -> DataFrame:
+    """One row per finding: key, id, start, end, line, original, confidence (null but for names).  No shuffle."""
+    found = with_spans(df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)), text_col, detectors, whitelist, min_confidence=min_confidence)
+    lines = spans.line_numbers(F.col(text_col), F.transform("spans", lambda x: x["s"]))
+    # An outer explode: for an inner one, as for a filter on the spans, Spark would run all detectors twice.
+    rows = found.select(key, F.explode_outer(F.arrays_zip(F.col("spans").alias("f"), lines.alias("line"))).alias("x")).where("x.f is not null")
+    return rows.select(key, F.col("x.f.id"), F.col("x.f.s").alias("start"), F.col("x.f.e").alias("end"), F.col("x.line").alias("line"), F.col("x.f.m").alias("original"), F.col("x.f.c").alias("confidence"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from ..functions.fakes import fake_value
 from ..registry import Detector, select
+from ..session import materialize
 from . import detect
 from .rank import rank_within
 
@@ -48,16 +49,31 @@ def replacement(id: Column, n: Column, mode: str, ids: list[str]) -> Column:
     raise ValueError(f"no such mode: {mode}")
 
 
+def mask_rows(df: DataFrame, text_col: str = "text", mode: str = "typed", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), min_confidence: str | None = None, allow: dict[str, Column] | None = None, out: str = "masked") -> DataFrame:
+    """Document scope: each row numbers its own values by first appearance, in place, without a shuffle."""
+    detectors = detectors or select()
+    found = detect.with_spans(df, text_col, detectors, whitelist, "__spans", min_confidence, allow)
+    ids = lambda all_: F.array_distinct(F.transform(all_, lambda x: x["id"]))
+    values = lambda all_: F.transform(ids(all_), lambda i: F.struct(i.alias("id"), F.array_distinct(F.transform(F.filter(all_, lambda x: x["id"] == i), lambda x: x["m"])).alias("values")))
+    number = lambda known, x: F.array_position(F.get(F.filter(known, lambda v: v["id"] == x["id"]), F.lit(0))["values"], x["m"])
+    edit = lambda known, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), replacement(x["id"], number(known, x), mode, [d.id for d in detectors]).alias("r"))
+    edits = spans.bind(F.col("__spans"), lambda all_: spans.bind(values(all_), lambda known: F.transform(all_, lambda x: edit(known, x))))
+    return found.withColumn(out, F.when(F.size("__spans") > 0, spans.splice(F.col(text_col), edits)).otherwise(F.col(text_col))).drop("__spans")
+
+
 def mask(df: DataFrame, key: str, text_col: str = "text", mode: str = "typed", scope: str = "dataset", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), values: DataFrame | None = None) -> DataFrame:
     """(key, text, masked).  ``key`` must be unique and gives the order of appearance.
 
     values: a dictionary from an earlier call, so that tokens are shared between tables.
+    Findings are stored once, for the dictionary and for the edits.
     """
     detectors = detectors or select()
     if mode == "redact":
         return redact(df.select(key, text_col), text_col, detectors, whitelist)
-    found = detect.findings(df, key, text_col, detectors, whitelist)
-    known = values if values is not None else dictionary(found, key, scope)
+    if scope == "document" and values is None:
+        return mask_rows(df.select(key, text_col), text_col, mode, detectors, whitelist)
+    found = materialize(detect.findings(df, key, text_col, detectors, whitelist), "findings")
+    known = values if values is not None else materialize(dictionary(found, key, scope), "dictionary")
     on = [key, "id", "original"] if key in known.columns else ["id", "original"]
     named = found.join(known, on).withColumn("r", replacement(F.col("id"), F.col("n"), mode, [d.id for d in detectors]))
     edits = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), "r"))).alias("edits"))

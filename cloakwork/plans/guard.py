@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect, report
-from ..operators.mask import mask
+from ..operators.mask import mask_rows
 from ..registry import DETECTORS
 from ..session import materialize
 from . import dims
@@ -35,6 +35,11 @@ class Context:
     def rules(self) -> dict:
         return dims.POLICY.get(self.destination, dims.POLICY["unknown"])
 
+    @property
+    def min_confidence(self) -> str:
+        """Least confidence at which a name counts at this destination."""
+        return self.rules.get("min_name_confidence", "low")
+
     @property
     def intent(self) -> str | None:
         words = self.task.lower()
@@ -97,7 +102,7 @@ def decide(df: DataFrame, key: str, c: Context, text_col: str = "text") -> DataF
     the resource.  The source text is always the original.
     """
     source = materialize(df.select(F.col(key), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "guard_source")
-    found = materialize(detect.findings(source, key), "guard_findings")
+    found = materialize(detect.findings(source, key, min_confidence=c.min_confidence), "guard_findings")
     observed = materialize(report.observe(found, key), "guard_observed")
     first = materialize(policy(risk(observed, key, c), c), "guard_policy")
     clean = source.join(first.select(key), key, "left_anti").select(key, F.lit("ALLOW").alias("decision"), F.lit("NO_SENSITIVE_DATA").alias("reason"), F.lit(0).alias("iterations"), F.lit(None).cast("string").alias("artifact"))
@@ -108,19 +113,13 @@ def decide(df: DataFrame, key: str, c: Context, text_col: str = "text") -> DataF
     for k in range(1, c.max_iterations + 1):
         if not must or not state.limit(1).count():
             break
-        masked = source.join(state, key)
-        text = masked
-        for name, mode in dims.MODE_OF.items():
-            ids = {cls: [d for d in DETECTORS if d.sensitivity == cls] for cls in must}
-            for cls in must:
-                ladder = c.ladder(cls)
-                steps = [i for i, t in enumerate(ladder) if t == name]
-                if not steps or not ids[cls]:
-                    continue
-                on = F.coalesce(F.element_at("step", cls), F.lit(0)) == steps[0]
-                changed = mask(text.where(on), key, "text", mode, "document", tuple(ids[cls])).select(key, "masked")
-                text = materialize(text.join(changed, key, "left").select(key, F.coalesce("masked", "text").alias("text"), "step"), "guard_text")
-        residue = report.observe(detect.findings(text, key), key).where(F.col("class").isin(*c.rules["prohibited"])).groupBy(key).agg(F.collect_set("class").alias("residue"))
+        text = source.join(state, key)
+        for name, mode in dims.MODE_OF.items():  # a pass per mode, over all classes that use it in this round
+            allow = {d.id: F.coalesce(F.element_at("step", cls), F.lit(0)) == c.ladder(cls).index(name) for cls in must if name in c.ladder(cls) for d in DETECTORS if d.sensitivity == cls}
+            if allow:
+                used = tuple(d for d in DETECTORS if d.id in allow)
+                text = materialize(mask_rows(text, "text", mode, used, min_confidence=c.min_confidence, allow=allow).select(key, F.col("masked").alias("text"), "step"), "guard_text")
+        residue = report.observe(detect.findings(text, key, min_confidence=c.min_confidence), key).where(F.col("class").isin(*c.rules["prohibited"])).groupBy(key).agg(F.collect_set("class").alias("residue"))
         verified = materialize(text.join(residue, key, "left"), "guard_verified")
         done.append(verified.where("residue is null").select(key, F.lit("ALLOW_WITH_TRANSFORMATION").alias("decision"), F.lit("VERIFIED").alias("reason"), F.lit(k).alias("iterations"), F.col("text").alias("artifact")))
         rest = verified.where("residue is not null").select(key, F.transform_values("step", lambda cls, s: s + F.array_contains("residue", cls).cast("int")).alias("step"))
