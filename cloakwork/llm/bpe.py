@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from ._shared import ASCII_LOWER, small_batches
 
 #: Characters in a leaf of the tree, tokens on each side of the first window, words remembered.
-LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 300_000
+LEAF_CHARS, WINDOW, MEMO_WORDS = 16_384, 24, 120_000
 #: Words in one call of the library, and characters of texts whose unseen words are learned together.
-LEARN_WORDS, BLOCK_CHARS = 4096, 1 << 20
+LEARN_WORDS, BLOCK_CHARS = 2048, 1 << 18
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _CODECS: dict[str, Codec] = {}
 #: str.split() also cuts at these, which the tokenizer's white space does not include.

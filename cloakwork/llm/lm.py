@@ -1,24 +1,25 @@
 """Language-model scoring: a log-bilinear neural model, trained in numpy by noise contrast.
 
-All statistics cover every learning document.  Token counts give the unigram base.  The
-neural model is over CLASSES classes: the most frequent tokens, suffix buckets for the
-rest, and the end; the word layer below tells the words of a bucket apart.  A context of two classes predicts the next one through
-``q = r1 A + r2 B`` and scores ``q . t + b``.  Training is by noise-contrastive
-estimation on class-trigram counts gathered from the whole corpus, the noise being the
-class unigrams: for each context the noise expectation is taken over all classes
-instead of drawn samples.  SHARDS tasks train on disjoint sets of contexts from the same
-start, and their parameters are averaged by weight, ROUNDS times.  Sizes of class
-model and trigram table are bounded by CLASSES; the word layer grows with the corpus.
-
-A token's probability is its class's, normalised over all classes by batched matrix
-products (all contexts at once, since there are CLASSES^2), times the token's share
-within its bucket, with one count added for each type and for all unseen ones together.
-On these the word layer (``lmwords``) builds: it has a vector for each frequent token,
-learned from all positions of the corpus, so both are conditioned on the words themselves.
-
-Tokens with at least 2^-FREQUENT_BITS of all learning tokens (so 2^FREQUENT_BITS at
-most) go to all workers; counts of the others are joined by a shuffle, in which no key
-holds more than that share.
+All statistics cover every learning document.  Token counts give the unigram base and the
+vocabulary: each token with 2^-FREQUENT_BITS of all learning tokens or more has a vector
+of its own, so the vocabulary grows with the corpus up to 2^FREQUENT_BITS tokens; rarer
+ones share the vector of a bucket, by their last two bytes.
+
+A target w after the tokens v, u (u last) scores ``q . t_w + log p_w``, with the context
+``q = r_class(u) + s_class'(v)`` and the unigram share p_w.  Training is by noise-contrastive
+estimation over every position of the corpus: NOISE samples from p for each SHARED
+positions, which makes the odds of data against noise ``exp(q . t_w) / NOISE``.  Context
+classes start as the most frequent tokens and the buckets; after the first pass, tokens are
+clustered by their vectors, and a second pass learns with these clusters as classes.  Each
+task learns from its own documents from the same start; changes are averaged by how often
+each row was touched.
+
+As contexts are LAST x BEFORE pairs of classes, scores are normalised exactly: a batched
+matrix product per class v sums over all targets.  A rare token's probability is its
+bucket's times its share there, with one count added for each type and for all unseen ones.
+
+Tokens of the vocabulary go to all workers; counts of the others are joined by a shuffle,
+in which no key holds more than 2^-FREQUENT_BITS of all tokens.
 
 Defined results: null text counts as empty, that is one end token; without learning
 tokens every count is zero and the model is uniform; a null id is in no fold, so it is
@@ -28,40 +29,47 @@ learned from; repeated rows give repeated results; further columns are ignored.
 from __future__ import annotations
 
 import math
-import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmwords
-from ._shared import ascii_words, stored
+from ._shared import ascii_words, small_batches, stored
 
-CLASSES, WORDS, FREQUENT_BITS = 128, 96, 18
-#: Classes: WORDS frequent tokens, then buckets, then the end; a context before the text is the end as well.
-BUCKETS, END_CLASS = CLASSES - WORDS - 1, CLASSES - 1
+FREQUENT_BITS = 18
+#: Context classes of the last token and of the one before it.
+LAST, BEFORE = 256, 64
+#: First leaves: WORDS frequent tokens, then the buckets, then the end; a context before the text is the end as well.
+WORDS, BUCKETS = 96, LAST - 97
+END_LEAF = LAST - 1
 #: The end token: a blank, which no word contains.
 END = " "
-DIMENSIONS, SHARDS, ROUNDS, EPOCHS, BATCH, RATE, NOISE = 24, 8, 2, 12, 256, 0.15, 10.0
+DIMENSIONS, NOISE, SHARED, STEP, RATE, DAMP, PASSES = 16, 16, 64, 4096, 0.1, 0.02, 2
+#: Positions mixed at once, and learning tokens for a task at least.
+BLOCK, TASK_TOKENS = 65_536, 3_000_000
 #: Distinct tokens a counting task holds before it passes partial counts on.
 HELD_TOKENS = 400_000
 
 
 def bucket(token: bytes) -> int:
-    """The class of a token that has none of its own: by its last two characters."""
-    return WORDS + zlib.crc32(token.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % BUCKETS
+    """The leaf of a token that has none of its own."""
+    return WORDS + zlib.crc32(token[-2:]) % BUCKETS
+
+
+def bucket_column(token: Column) -> Column:
+    tail = F.substring(token.cast("binary"), F.greatest(F.octet_length(token) - 1, F.lit(1)), F.lit(2))
+    return (F.pmod(F.crc32(tail), F.lit(BUCKETS)) + WORDS).cast("int")
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n) over all rows; each row adds one end token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         held: Counter = Counter()
         put = lambda: pa.RecordBatch.from_arrays([pa.array([t.decode() for t in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
         for batch in batches:
@@ -77,198 +85,249 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent tokens with their counts, classes, and the buckets' statistics."""
+    """Leaves: the WORDS most frequent tokens, buckets, the end, then all other frequent tokens."""
 
     def __init__(self, total: int, types: int, frequent: dict[str, int], buckets: dict[int, tuple[int, int]]):
+        """buckets: (tokens, types) of the infrequent tokens of each bucket's leaf."""
         self.total, self.types = total, types
-        words = sorted((t for t in frequent if t != END), key=lambda t: (-frequent[t], t))[:WORDS]
-        self.classes = {t.encode(): k for k, t in enumerate(words)} | {END.encode(): END_CLASS}
-        self.share = {b: math.log10(1 / (buckets.get(b, (0, 0))[0] + buckets.get(b, (0, 0))[1] + 1)) for b in range(WORDS, WORDS + BUCKETS)}
+        order = sorted((t for t in frequent if t != END), key=lambda t: (-frequent[t], t))
+        self.leaves = {t.encode(): k if k < WORDS else LAST + k - WORDS for k, t in enumerate(order)} | {END.encode(): END_LEAF}
+        size = LAST + max(0, len(order) - WORDS)
+        self.n = np.zeros(size)
+        for t, k in self.leaves.items():
+            self.n[k] = frequent.get(t.decode(), 0)
         self.base_zero = math.log10(1 / (total + types + 1))
-        #: Leaves of the word layer: tokens of buckets come after the classes.
-        self.members = sorted(t.encode() for t in frequent if t.encode() not in self.classes)
-        self.ids = self.classes | {t: CLASSES + k for k, t in enumerate(self.members)}
-        #: token: (class, log10 base probability, log10 share within its class)
-        self.known = {}
-        for t, n in frequent.items():
-            key = t.encode()
-            own = key in self.classes
-            c = self.classes[key] if own else bucket(key)
-            self.known[key] = (c, math.log10(n + 1) + self.base_zero, 0.0 if own else math.log10(n + 1) + self.share[c])
-
-    def class_of(self, token: bytes) -> int:
-        k = self.known.get(token)
-        return k[0] if k else bucket(token)
+        self.base = np.log10(self.n + 1) + self.base_zero
+        self.known = self.n > 0
+        self.share = [math.log10(1 / (sum(buckets.get(b, (0, 0))) + 1)) for b in range(WORDS, WORDS + BUCKETS)]
+        self.weight = self.n.copy()
+        for b, (n, _) in buckets.items():
+            self.weight[b] = n
+        self.log_p = np.log((self.weight + 1) / (self.weight + 1).sum()).astype(np.float32)
+        own = np.arange(size)
+        for t, k in self.leaves.items():
+            if k >= LAST:
+                own[k] = bucket(t)
+        #: Starting classes.
+        coarse = np.where(own < BEFORE // 2, own, np.where(own == END_LEAF, BEFORE - 1, BEFORE // 2 + own % (BEFORE // 2 - 1)))
+        self.last, self.before = own.astype(np.int16), coarse.astype(np.int16)
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves of the words with two ends ahead and one behind, and the places of rare words among them."""
+        x = np.full(len(words) + 3, END_LEAF, np.int32)
+        x[2:-1] = np.fromiter(map(self.leaves.get, words, repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(x < 0)
+        x[rare] = [bucket(words[i - 2]) for i in rare.tolist()]
+        return x, rare
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = {r["token"]: r["n"] for r in counts.where(F.col("n") * (1 << FREQUENT_BITS) >= total).toLocalIterator()}  # 2^FREQUENT_BITS rows at most
-    own = sorted((t for t in frequent if t != END), key=lambda t: (-frequent[t], t))[:WORDS] + [END]
-    in_bucket = counts.where(~F.col("token").isin(own)).groupBy(bucket_column(F.col("token")).alias("b")).agg(F.sum("n"), F.count(F.lit(1)))
-    return Vocabulary(total, types, frequent, {b: (n, k) for b, n, k in in_bucket.collect()})  # BUCKETS rows
-
-
-def bucket_column(token: Column) -> Column:
-    size = F.length(token)
-    tail = F.substring(token, F.greatest(size - 1, F.lit(1)), F.lit(2))
-    return (F.pmod(F.crc32(tail.cast("binary")), F.lit(BUCKETS)) + WORDS).cast("int")
-
-
-def class_trigrams(docs: DataFrame, shipped, text_col: str = "text") -> DataFrame:
-    """(context, class, n): contexts are (class before the last) x CLASSES + (last class)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shipped.value
-        seen = np.zeros(CLASSES**3, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                c = text_classes(v, ascii_words(text))
-                keys, n = np.unique((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], return_counts=True)
-                seen[keys] += n.astype(np.int32)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at // CLASSES, pa.int32()), pa.array(at % CLASSES, pa.int32()), pa.array(seen[at], pa.int64())], ["context", "class", "n"])
-
-    return docs.select(text_col).mapInArrow(count, "context int, class int, n bigint").groupBy("context", "class").agg(F.sum("n").alias("n"))
-
-
-def text_classes(v: Vocabulary, words: list[bytes]) -> np.ndarray:
-    """Two ends, the words' classes, and the end."""
-    known = v.known
-    c = [k[0] if (k := known.get(w)) else bucket(w) for w in words]
-    return np.array([END_CLASS, END_CLASS, *c, END_CLASS], np.int64)
-
-
-def text_ids(v: Vocabulary, words: list[bytes]) -> np.ndarray:
-    """Two ends, the words' leaves, and the end."""
-    ids = v.ids
-    return np.array([END_CLASS, END_CLASS, *(k if (k := ids.get(w)) is not None else bucket(w) for w in words), END_CLASS], np.int64)
+    rest = counts.where(F.col("n") * (1 << FREQUENT_BITS) < total).groupBy(bucket_column(F.col("token")).alias("b")).agg(F.sum("n"), F.count(F.lit(1)))
+    return Vocabulary(total, types, frequent, {b: (n, k) for b, n, k in rest.collect()})  # BUCKETS rows
 
 
 class LogBilinear:
-    NAMES = ("r", "a", "b", "t", "bias")
+    """Vectors of context classes (r, s) and of targets (t); the classes of all leaves."""
 
-    def __init__(self, unigram: np.ndarray):
+    NAMES = ("r", "s", "t")
+
+    def __init__(self, last: np.ndarray, before: np.ndarray, log_p: np.ndarray):
         rng = np.random.default_rng(7)
-        d = DIMENSIONS
-        self.r = rng.normal(0, 0.3, (CLASSES, d)).astype(np.float32)
-        self.t = rng.normal(0, 0.3, (CLASSES, d)).astype(np.float32)
-        self.a = np.eye(d, dtype=np.float32) * 0.5
-        self.b = np.eye(d, dtype=np.float32) * 0.3
-        self.noise = ((unigram + 1) / (unigram.sum() + CLASSES)).astype(np.float32)
-        self.bias = np.log(self.noise)
-
-    def __getstate__(self):
-        return {n: getattr(self, n) for n in (*self.NAMES, "noise")}
-
-    def train(self, contexts: np.ndarray, counts: np.ndarray) -> LogBilinear:
-        """counts: for each context (row) how often each class follows."""
-        old, rng = {n: np.full_like(getattr(self, n), 1e-4) for n in self.NAMES}, np.random.default_rng(11)
-        log_kn, kn = np.log(NOISE * self.noise), NOISE * self.noise
-        weight = counts.sum(1)
-        scale = len(weight) / max(weight.sum(), 1.0)
-        for _ in range(EPOCHS):
-            mix = rng.permutation(len(contexts))
-            for at in range(0, len(mix), BATCH):
-                k = mix[at : at + BATCH]
-                last, before = contexts[k] % CLASSES, contexts[k] // CLASSES
-                q = self.r[last] @ self.a + self.r[before] @ self.b
-                data = 1 / (1 + np.exp(np.clip(log_kn - q @ self.t.T - self.bias, -30, 30)))  # that a sample is data, not noise
-                g = (counts[k] * (1 - data) - weight[k, None] * kn * data) * (scale / len(k))
-                dq = g @ self.t
-                dr = np.zeros_like(self.r)
-                np.add.at(dr, last, dq @ self.a.T)
-                np.add.at(dr, before, dq @ self.b.T)
-                for name, step in (("t", g.T @ q), ("bias", g.sum(0)), ("a", self.r[last].T @ dq), ("b", self.r[before].T @ dq), ("r", dr)):
-                    old[name] += step * step
-                    setattr(self, name, getattr(self, name) + RATE * step / np.sqrt(old[name]))
-        return self
-
-    def log10_table(self) -> np.ndarray:
-        """Normalised log10 probabilities: contexts x classes."""
-        ra, rb = self.r @ self.a, self.r @ self.b
-        out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-        for before in range(CLASSES):
-            s = (ra + rb[before]) @ self.t.T + self.bias
-            s -= s.max(1, keepdims=True)
-            out[before * CLASSES : (before + 1) * CLASSES] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        return out
-
-
-def train(spark: SparkSession, trigrams: DataFrame) -> LogBilinear:
-    """trigrams: (context, class, n), CLASSES^3 rows at most."""
-    unigram = np.zeros(CLASSES)
-    for c, n in trigrams.groupBy("class").agg(F.sum("n")).collect():  # CLASSES rows
-        unigram[c] = n
-    model = LogBilinear(unigram)
-    sharded = trigrams.withColumn("shard", F.pmod(F.xxhash64("context"), F.lit(SHARDS)))
-    for _ in range(ROUNDS):
-        shipped = spark.sparkContext.broadcast(model)  # CLASSES x DIMENSIONS parameters
-
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
-            contexts, at = np.unique(rows["context"].to_numpy(np.int64), return_inverse=True)
-            counts = np.zeros((len(contexts), CLASSES), np.float32)
-            counts[at, rows["class"].to_numpy(np.int64)] = rows["n"]
-            start = pickle.loads(pickle.dumps(shipped.value))  # noqa: B023
-            return pd.DataFrame({"weight": [float(counts.sum())], "model": [pickle.dumps(start.train(contexts, counts))]})
-
-        parts = [(w, pickle.loads(m)) for w, m in sharded.groupBy("shard").applyInPandas(fit, "weight double, model binary").collect()]  # SHARDS rows
-        for name in LogBilinear.NAMES if parts else ():
-            setattr(model, name, (sum(w * getattr(m, name) for w, m in parts) / sum(w for w, _ in parts)).astype(np.float32))
+        self.last, self.before, self.log_p = last, before, log_p
+        self.r = rng.normal(0, 0.3, (LAST, DIMENSIONS)).astype(np.float32)
+        self.s = rng.normal(0, 0.3, (BEFORE, DIMENSIONS)).astype(np.float32)
+        self.t = np.zeros((len(log_p), DIMENSIONS), np.float32)
+
+    def recluster(self, weight: np.ndarray) -> None:
+        """Leaves of like vectors become a class; class vectors are averages of the old ones.  The end stays alone."""
+        for name, of, size in (("r", "last", LAST), ("s", "before", BEFORE)):
+            old, vectors = getattr(self, of), getattr(self, name)
+            new = clusters(self.t, weight + 1e-9, size - 1)
+            new[END_LEAF] = size - 1
+            total = np.maximum(np.bincount(new, weight + 1e-9, size), 1e-9)
+            mean = [np.bincount(new, (weight + 1e-9) * vectors[old, d], size) / total for d in range(DIMENSIONS)]
+            setattr(self, of, new.astype(np.int16))
+            setattr(self, name, np.stack(mean, axis=1).astype(np.float32))
+
+    def log_sums(self, before: int) -> np.ndarray:
+        """Logarithm of the sum over all targets, for each class of the last token after one class ``before``."""
+        scores = (self.r + self.s[before]) @ self.t.T + self.log_p
+        top = scores.max(1)
+        return top + np.log(np.exp(scores - top[:, None]).sum(1))
+
+    def log10_of(self, sums: np.ndarray, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of positions given as leaves; sums: BEFORE x LAST."""
+        b, u = self.before[before], self.last[last]
+        z = np.einsum("ij,ij->i", self.r[u] + self.s[b], self.t[target]) + self.log_p[target] - sums[b, u]
+        return z / math.log(10)
+
+
+def clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Weighted k-means; centres start at the heaviest rows."""
+    centres = x[np.argsort(-weight, kind="stable")[:k]].copy()
+    for _ in range(rounds):
+        near = np.concatenate([((centres * centres).sum(1) - 2 * x[i : i + STEP] @ centres.T).argmin(1) for i in range(0, len(x), STEP)])
+        n = np.bincount(near, weight, len(centres))
+        for d in range(x.shape[1]):
+            centres[n > 0, d] = (np.bincount(near, weight * x[:, d], len(centres)) / np.maximum(n, 1e-12))[n > 0]
+    return near
+
+
+class Learner:
+    """One task's copy of a model, with each row's steps scaled by its own past gradients."""
+
+    def __init__(self, model: LogBilinear):
+        self.model, self.rng = model, np.random.default_rng(11)
+        self.tables = {n: getattr(model, n).copy() for n in LogBilinear.NAMES}
+        self.past = {n: np.full(len(x), DAMP, np.float32) for n, x in self.tables.items()}
+        self.touched = {n: np.zeros(len(x)) for n, x in self.tables.items()}
+        self.cumulated = np.cumsum(np.exp(model.log_p.astype(np.float64)))
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, leaves: np.ndarray) -> None:
+        self.held.append(leaves)
+        self.size += len(leaves) - 2
+        if self.size >= BLOCK:
+            self.flush()
+
+    def flush(self) -> None:
+        """Learn from all held positions, mixed."""
+        if self.held:
+            before, last, target = positions(self.held)
+            mix = self.rng.permutation(len(target))
+            for k in range(0, len(mix), STEP):
+                at = mix[k : k + STEP]
+                self.learn(self.model.before[before[at]], self.model.last[last[at]], target[at])
+        self.held, self.size = [], 0
+
+    def learn(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> None:
+        """A step; each SHARED positions have their NOISE samples in common, a last group may be smaller."""
+        q = self.tables["r"][last] + self.tables["s"][before]
+        t = self.tables["t"][target]
+        data = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) - math.log(NOISE)))  # one less the odds that data are data
+        dq, rows, steps = data[:, None] * t, [target], [data[:, None] * q]
+        full = len(q) // SHARED * SHARED
+        for cut, groups in ((slice(0, full), full // SHARED), (slice(full, len(q)), int(full < len(q)))):
+            if groups:
+                samples = np.minimum(np.searchsorted(self.cumulated, self.rng.random(groups * NOISE)), len(self.cumulated) - 1)
+                noise, own = self.tables["t"][samples].reshape(groups, NOISE, -1), q[cut].reshape(groups, -1, DIMENSIONS)
+                g = -1 / (1 + np.exp(math.log(NOISE) - np.matmul(own, noise.transpose(0, 2, 1))))
+                dq[cut] += np.matmul(g, noise).reshape(-1, DIMENSIONS)
+                rows.append(samples)
+                steps.append(np.matmul(g.transpose(0, 2, 1), own).reshape(-1, DIMENSIONS))
+        self._step("t", np.concatenate(rows), np.concatenate(steps))
+        self._step("r", last, dq)
+        self._step("s", before, dq)
+
+    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        edge = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        at, g = rows[order[edge]], np.add.reduceat(gradient[order], edge, axis=0)
+        self.past[name][at] += np.einsum("ij,ij->i", g, g) / DIMENSIONS
+        self.tables[name][at] += RATE * g / np.sqrt(self.past[name][at])[:, None]
+        self.touched[name][at] += np.diff(np.append(edge, len(rows)))
+
+    def changes(self) -> Iterator[pa.RecordBatch]:
+        """(key, n, changes times n) of what was touched; keys number the rows of r, s and t on."""
+        base = 0
+        for name, x in self.tables.items():
+            at = np.flatnonzero(self.touched[name])
+            n = self.touched[name][at]
+            d = (x[at] - getattr(self.model, name)[at]) * n[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(at + base, pa.int64()), pa.array(n), *(pa.array(c) for c in d.T)], ["key", "n", *(f"d{k}" for k in range(DIMENSIONS))])
+            base += len(x)
+
+
+def positions(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[k : len(x) - 2 + k] for x in texts]) for k in range(3))
+
+
+def train(spark: SparkSession, v: Vocabulary, words, training: DataFrame, text_col: str = "text") -> LogBilinear:
+    """PASSES passes over all of ``training``; words: broadcast ``v``.  The driver gets a row per vector."""
+    model = LogBilinear(v.last, v.before, v.log_p)
+    columns = [f"d{k}" for k in range(DIMENSIONS)]
+    docs = training.select(text_col).coalesce(v.total // TASK_TOKENS + 1)
+    for k in range(PASSES if v.total else 0):
+        if k:
+            model.recluster(v.weight)
+        shipped = spark.sparkContext.broadcast(model)  # vectors of 2^FREQUENT_BITS tokens at most
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            learner, of = Learner(shipped.value), words.value.of  # noqa: B023
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    learner.add(of(ascii_words(text))[0])
+            learner.flush()
+            yield from learner.changes()
+
+        rows = docs.mapInArrow(fit, "key bigint, n double, " + ", ".join(f"{c} double" for c in columns))
+        mean = rows.groupBy("key").agg(*((F.sum(c) / F.sum("n")).cast("float").alias(c) for c in columns)).toArrow()
+        keys, changes = mean.column("key").to_numpy(), np.stack([mean.column(c).to_numpy() for c in columns], axis=1)
+        base = 0
+        for name in LogBilinear.NAMES:
+            x = getattr(model, name).copy()
+            own = (keys >= base) & (keys < base + len(x))
+            x[keys[own] - base] += changes[own]
+            base += len(x)
+            setattr(model, name, x)
     return model
 
 
-def word_layer(v: Vocabulary, model: LogBilinear, training: DataFrame, words, text_col: str = "text") -> lmwords.WordLayer:
-    """words: broadcast ``v``."""
-    weight = {b: 10.0**-s for b, s in v.share.items()}
-    known = [v.known[t] for t in v.members]
-    own = [10.0 ** k[2] * weight[k[0]] for k in known]
-    layer = lmwords.WordLayer(model.log10_table(), model.noise * 1e6, [k[0] for k in known], own, weight, (model.r @ model.a, model.r @ model.b))
-    shipped = training.sparkSession.sparkContext.broadcast(layer)
-    return lmwords.train(layer, shipped, training.select(text_col), lambda text: text_ids(words.value, ascii_words(text)))
+def log_sums(spark: SparkSession, model: LogBilinear, shipped) -> np.ndarray:
+    """BEFORE x LAST normalisers, computed in tasks; shipped: broadcast ``model``."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([shipped.value.log_sums(i).astype(np.float64) for i in b.tolist()], pa.list_(pa.float64()))], ["b", "sums"])
+
+    rows = spark.range(0, BEFORE, 1, 16).mapInArrow(sums, "b bigint, sums array<double>").collect()  # BEFORE rows
+    return np.array([r["sums"] for r in sorted(rows, key=lambda r: r["b"])])
 
 
 def score(df: DataFrame, training: DataFrame, *keep: Column, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, n_tokens, n_known, train_tokens, base_score and score per row of ``df``."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     counts = stored(token_counts(training, text_col), "token_counts")
     v = vocabulary(counts)
     words = spark.sparkContext.broadcast(v)  # 2^FREQUENT_BITS entries at most
-    trigrams = stored(class_trigrams(training, words, text_col), "class_trigrams")
-    trained = train(spark, trigrams)
-    model = spark.sparkContext.broadcast(trained)
-    layer = spark.sparkContext.broadcast(word_layer(v, trained, training, words, text_col))  # vectors of 2^FREQUENT_BITS tokens at most
+    model = train(spark, v, words, training, text_col)
+    shipped = spark.sparkContext.broadcast(model)
+    normalisers = spark.sparkContext.broadcast(log_sums(spark, model, shipped))  # BEFORE x LAST
     rows = df.select(F.struct(*keep).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    names = ["kept", "row", "n_tokens", "n_known", "base", "lm", "rare", "times"]
+    types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "lm": pa.float64(), "rare": pa.list_(pa.string()), "times": pa.list_(pa.int32())}
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        v, table = words.value, model.value.log10_table().ravel()
-        known, end = v.known, v.known.get(END.encode(), (END_CLASS, v.base_zero, 0.0))
+        v, model, sums = words.value, shipped.value, normalisers.value
         for batch in batches:
-            out = []
+            leaves, rare = [], []
             for text in batch.column(2).to_pylist():
                 tokens = ascii_words(text)
-                found = [known.get(w) for w in tokens]
-                rare = Counter([w for w, k in zip(tokens, found, strict=True) if k is None])
-                hits = [k for k in found if k is not None]
-                c = np.array([END_CLASS, END_CLASS, *(k[0] if k else bucket(w) for w, k in zip(tokens, found, strict=True)), END_CLASS], np.int64)
-                lm = float(table[(c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]].sum(dtype=np.float64))
-                before, last, target = lmwords.positions([text_ids(v, tokens)])
-                lm += math.fsum(layer.value.gains(before, last, target))
-                out.append((len(tokens) + 1, len(hits) + (END.encode() in known), math.fsum(k[1] for k in hits) + end[1], lm + math.fsum(k[2] for k in hits), [w.decode() for w in rare], list(rare.values())))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(types))], names)
+                x, places = v.of(tokens)
+                leaves.append(x)
+                rare.append(Counter([tokens[i - 2] for i in places.tolist()]))
+            if not leaves:
+                continue
+            size = np.array([len(x) - 2 for x in leaves])
+            starts = np.cumsum(size) - size
+            before, last, target = positions(leaves)
+            per_text = lambda values: np.add.reduceat(values, starts)
+            own = (target < WORDS) | (target >= END_LEAF)  # not of a bucket
+            found = [size, per_text((own & v.known[target]).astype(np.int64)), per_text(np.where(own, v.base[target], 0.0)), per_text(model.log10_of(sums, before, last, target).astype(np.float64))]
+            out = [*(pa.array(x) for x in found), [[w.decode() for w in r] for r in rare], [list(r.values()) for r in rare]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, types.values(), strict=True))], ["kept", "row", *types])
 
     scored = stored(rows.mapInArrow(first_pass, f"kept {rows.schema['kept'].dataType.simpleString()}, row bigint, n_tokens bigint, n_known bigint, base double, lm double, rare array<string>, times array<int>"), "first_pass")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("token"), F.col("e.times").alias("times"))
-    rare = counts.where(F.col("n") * (1 << FREQUENT_BITS) < v.total)
-    share = F.create_map(*(x for b, s in v.share.items() for x in (F.lit(b), F.lit(s))))
+    infrequent = counts.where(F.col("n") * (1 << FREQUENT_BITS) < v.total)
+    share = F.get(F.array(*map(F.lit, v.share)), bucket_column(F.col("token")) - WORDS)
     n = F.coalesce("n", F.lit(0))
     sums = (
-        pairs.join(rare, "token", "left")
-        .select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * (F.log10(n + 1) + v.base_zero)).alias("base2"), (F.col("times") * (F.log10(n + 1) + share[bucket_column(F.col("token"))])).alias("lm2"))
+        pairs.join(infrequent, "token", "left")
+        .select("row", F.when(n > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * (F.log10(n + 1) + v.base_zero)).alias("base2"), (F.col("times") * (F.log10(n + 1) + share)).alias("lm2"))
         .groupBy("row")
         .agg(F.sum("known").alias("known"), F.sum("base2").alias("base2"), F.sum("lm2").alias("lm2"))
     )

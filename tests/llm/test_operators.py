@@ -349,16 +349,33 @@ def test_language_model_is_normalised_and_beats_the_base(spark):
     held_out = F.expr("crc32(cast(doc_id as string)) % 7 = 2")
     got = lm.score(real, real.where(~held_out), held_out.alias("held_out")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
-    model = lm.LogBilinear(np.ones(lm.CLASSES))
-    assert np.allclose((10.0 ** model.log10_table()).sum(1), 1, atol=1e-3)
-    counts = lm.token_counts(real.where(~held_out))
-    vocab = lm.vocabulary(counts)
-    mass = collections.Counter()
-    for t, k in counts.collect():
-        known = vocab.known.get(t.encode())
-        mass[vocab.class_of(t.encode())] += 10 ** (known[2] if known else math.log10(k + 1) + vocab.share[vocab.class_of(t.encode())])
-    for b in range(lm.WORDS, lm.WORDS + lm.BUCKETS):  # what is missing goes to tokens never seen
-        assert mass[b] + 10 ** vocab.share[b] == pytest.approx(1)
+    assert got[0] / got[1] < 0.945  # held-out log probabilities: at least 5.5 % nearer to zero
+
+
+def test_language_model_score_equals_brute_force(spark, docs):
+    """Scores summed position by position from a softmax over all targets; probabilities of all tokens sum to one."""
+    train = docs.where("doc_id % 2 = 0").select("text").coalesce(1).cache()
+    v = lm.vocabulary(lm.token_counts(train))
+    model = lm.train(spark, v, spark.sparkContext.broadcast(v), train)
+    counts = {r.token.encode(): r.n for r in lm.token_counts(train).collect()}
+    rest = {}
+    for token, n in counts.items():
+        if token not in v.leaves:
+            rest.setdefault(lm.bucket(token), []).append(n)
+    for b in range(lm.WORDS, lm.WORDS + lm.BUCKETS):
+        mine = rest.get(b, [])
+        assert sum((n + 1) * 10 ** v.share[b - lm.WORDS] for n in mine) + 10 ** v.share[b - lm.WORDS] == pytest.approx(1)
+    for r in lm.score(docs.where("length(coalesce(text, '')) < 3000"), train, F.col("text").alias("t")).collect():
+        tokens, total = [b" ", b" ", *(w.encode() for w in words(r.t)), b" "], 0.0
+        leaf = [v.leaves.get(w, lm.bucket(w)) for w in tokens]
+        for i in range(2, len(tokens)):
+            q = model.r[model.last[leaf[i - 1]]] + model.s[model.before[leaf[i - 2]]]
+            p = np.exp((model.t @ q + model.log_p).astype(np.float64))
+            assert (p / p.sum()).sum() == pytest.approx(1)
+            total += math.log10(p[leaf[i]] / p.sum())
+            if tokens[i] not in v.leaves:
+                total += math.log10(counts.get(tokens[i], 0) + 1) + v.share[leaf[i] - lm.WORDS]
+        assert r.score == pytest.approx(total, rel=1e-4)
 
 
 def test_bucket_is_the_same_on_both_sides(spark):
