@@ -223,8 +223,9 @@ class Learner:
         self._step("s", before, dq)
 
     def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        rows = rows.astype(np.uint16 if len(self.tables[name]) <= 1 << 16 else np.int32)  # short ones are sorted by radix
         order = np.argsort(rows, kind="stable")
-        edge = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        edge = np.flatnonzero(np.diff(rows[order].astype(np.int32), prepend=-1))
         at, g = rows[order[edge]], np.add.reduceat(gradient[order], edge, axis=0)
         self.past[name][at] += np.einsum("ij,ij->i", g, g) / DIMENSIONS
         self.tables[name][at] += RATE * g / np.sqrt(self.past[name][at])[:, None]
