@@ -11,18 +11,24 @@ hence two of those three are equal as well: 8 starts x 3 choices give 24 equalit
 of 32 bits, and no link is missed.  Pairs that share a key must pass the whole chain of
 budgets before the full Hamming check; each pair is kept at its first key only.
 
+Other budgets work alike (5 bits: 56 keys of 24 bits), and links can be verified by the
+exact similarity of shingle sets.
+
 Equal fingerprints collapse first, so copies never become pairs, however many there are.
 Only links between different fingerprints are made, each once; connected components
 then spread smallest ids over them.
 
 Defined results: null or wordless text has fingerprint zero and links like any other;
-repeated rows (and rows of a null id) keep their number; further columns are ignored.
+repeated rows (and rows of a null id) keep their number; a row of a null id links other
+rows like any other, but is never the smallest: only where all ids of a component are null
+is its component_id null; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,81 +39,137 @@ from pyspark.sql import functions as F
 from ._shared import ascii_words, small_batches, stored
 
 TAU, SEGMENTS, SHINGLE, SEED = 3, 8, 3, 42
-BUDGET = [TAU * k // SEGMENTS for k in range(1, SEGMENTS + 1)]
+#: Representatives' keys that are broadcast at most (24 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Shingles hashed and counted at once, which bounds memory on long texts.
 BLOCK = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = ascii_words(text)
-    if not words:
-        return 0
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, at most BLOCK at once; nothing for a text without words."""
+    words, digest = ascii_words(text), xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, BLOCK):
+    for at in range(0, n if words else 0, BLOCK):
         part = words[at : min(at + BLOCK, n) + shingle - 1]
         rows = zip(*(part[k:] for k in range(shingle)), strict=False) if len(part) >= shingle else [part]
-        h = np.array([digest(x, SEED) for x in map(b" ".join, rows)], "<u8")
+        yield np.array([digest(x, SEED) for x in map(b" ".join, rows)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint) per row; fp holds the unsigned fingerprint's bits."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp bigint, digest) per row; fp holds the unsigned fingerprint's bits, digest tells texts apart."""
     small_batches(df.sparkSession)
-    rows = df.select(id_col, text_col)
+    rows = df.select(id_col, text_col, F.xxhash64(text_col).alias("digest"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], [id_col, "fp", "digest"])
 
-    return rows.mapInArrow(hashed, f"`{id_col}` {dict(rows.dtypes)[id_col]}, fp bigint")
+    return rows.mapInArrow(hashed, f"`{id_col}` {dict(rows.dtypes)[id_col]}, fp bigint, digest bigint")
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _masks() -> list[int]:
-    """The 24 sets of four equal segments, as bit masks."""
-    out = []
-    for start in range(SEGMENTS):
-        for loose in range(3):
-            keep = [0, 1, *(2 + j for j in range(3) if j != loose)]
-            out.append(sum(0xFF << 8 * ((start + k) % SEGMENTS) for k in keep))
-    return out
+def _masks(tau: int) -> list[int]:
+    """Bit masks of the sets of equal segments that a chain within the budgets must hold.
 
+    Of a chain of k segments at most floor(tau k / SEGMENTS) differ, and its d-th differing
+    one stands where the budget is d or more.  The shortest chain that leaves four segments
+    (three, where no chain leaves four) equal is used, at each start of the ring.
+    """
+    budget = [tau * k // SEGMENTS for k in range(SEGMENTS + 1)]
+    most = min(4, max(k - budget[k] for k in range(SEGMENTS + 1)))
+    k = next(k for k in range(1, SEGMENTS + 1) if k - budget[k] == most)
+    loose = [w for w in combinations(range(1, k + 1), budget[k]) if all(budget[p] >= d for d, p in enumerate(w, 1))]
+    equal = {frozenset((start + p) % SEGMENTS for p in range(1, k + 1) if p not in w) for start in range(SEGMENTS) for w in loose}
+    return sorted(sum(0xFF << 8 * s for s in e) for e in equal)
 
-def _ring(x: Column) -> Column:
+
+def _ring(x: Column, tau: int) -> Column:
     """Whether from some segment on every chain of differences of ``x`` keeps its budget."""
+    budget = [tau * k // SEGMENTS for k in range(SEGMENTS + 1)]
     d = [F.bit_count(F.shiftrightunsigned(x, 8 * s).bitwiseAND(F.lit(255))) for s in range(SEGMENTS)]
-    chain = lambda i, k: reduce(lambda a, b: a + b, [d[(i + j) % SEGMENTS] for j in range(k)]) <= BUDGET[k - 1]
-    starts = [reduce(lambda a, b: a & b, [chain(i, k) for k in (2, 5, 7)]) for i in range(SEGMENTS)]  # the ends of equal budgets
+    chain = lambda i, k: reduce(lambda a, b: a + b, [d[(i + j) % SEGMENTS] for j in range(k)]) <= budget[k]
+    ends = [k for k in range(1, SEGMENTS) if budget[k + 1] > budget[k]]  # of equal budgets the longest chain
+    starts = [reduce(lambda a, b: a & b, [chain(i, k) for k in ends]) for i in range(SEGMENTS)]
     return reduce(lambda a, b: a | b, starts)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different fingerprints at most TAU bits apart."""
-    masks = _masks()
+def links(fps: DataFrame, tau: int = TAU, radius: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different fingerprints.
+
+    All pairs at most tau bits apart are found.  With a ``radius`` above tau, pairs up to it
+    are returned as far as they share one of tau's keys.
+    """
+    radius = radius or tau
+    masks = _masks(tau)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "value"))
     left, right = keyed.select(F.col("fp").alias("a"), "mask", "value"), keyed.select(F.col("fp").alias("b"), F.col("mask").alias("m2"), F.col("value").alias("v2"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = reduce(lambda rest, k: F.when(x.bitwiseAND(F.lit(_signed(masks[k]))) == 0, F.lit(k)).otherwise(rest), range(len(masks) - 1, -1, -1), F.lit(-1))
-    on = (F.col("mask") == F.col("m2")) & (F.col("value") == F.col("v2")) & (F.col("a") < F.col("b")) & _ring(x) & (F.bit_count(x) <= TAU) & (first == F.col("mask"))
+    on = (F.col("mask") == F.col("m2")) & (F.col("value") == F.col("v2")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & _ring(x, radius) & (first == F.col("mask"))
     return left.join(right.hint("merge"), on).select("a", "b")
 
 
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(fp, s): the distinct hashes of each text's shingles, sorted.  texts: (fp, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t, shingle)])).view(np.int64) for t in batch.column(1).to_pylist()]
+            cuts = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["fp", "s"])
+
+    return texts.mapInArrow(sets, "fp bigint, s array<bigint>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those links among ``pairs`` that the components of all similar pairs need.
+
+    In each round, each node is compared with its smallest open partner.  Pairs that a round
+    has compared, and pairs whose nodes are in one component already, are closed: so a
+    group of n near copies takes about n comparisons, not all of its pairs, and yet no
+    component differs from what comparing all pairs gives.
+    """
+    spark = pairs.sparkSession
+    done: DataFrame | None = None
+    left, other = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    while True:
+        first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+        tested = stored(first.join(left, "a").join(other, "b").select("a", "b", alike.alias("alike")), "compared")
+        new = tested.where("alike").select("a", "b")
+        done = new if done is None else stored(done.unionByName(new), "verified")
+        labels = components(done.select(F.explode(F.array("a", "b")).alias("fp")).distinct().withColumn("id", F.col("fp")), done)
+        named = lambda c: labels.select(F.col("fp").alias(c), F.col("component_id").alias(f"of_{c}"))
+        open_ = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
+        pairs = stored(open_.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "open_pairs")
+        if not pairs.limit(1).count():
+            return done
+
+
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fp, component_id): the smallest ``id`` of each linked node's connected component.
 
-    nodes: (fp, id).  A label is (id, fp) of some node.  Labels spread along links, and
+    nodes: (fp, id); null ids link others but come last.  A label is (whether the id is null, id,
+    fp) of some node.  Labels spread along links, and
     pointer jumping (the label of a label's own node) shortens long chains, until nothing
     changes.  Only linked nodes take part; each round is a written table.
     """
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))
     both = stored(both, "links")
-    linked = stored(both.select("fp").distinct().join(nodes, "fp").select("fp", F.struct("id", "fp").alias("label")), "labels")
+    linked = stored(both.select("fp").distinct().join(nodes, "fp").select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("label")), "labels")
     while True:
         heard = both.join(linked.select(F.col("fp").alias("other"), "label"), "other").groupBy("fp").agg(F.min("label").alias("heard"))
         spread = linked.join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
@@ -118,12 +180,22 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return linked.select("fp", F.col("label.id").alias("component_id"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable."""
-    rows = stored(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min(id_col).alias("id"))
-    known = nodes.where(F.col("id").isNotNull())
-    labels = components(known, links(known.select("fp")))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU, radius: int | None = None, similarity: float | None = None) -> DataFrame:
+    """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable.
+
+    similarity: least Jaccard similarity of the shingle sets of linked texts; each fingerprint
+    is represented by the text of its smallest id.  None links by fingerprints alone.
+    """
+    rows = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "digest")).alias("least")).select("fp", F.col("least.id").alias("id"), F.col("least.digest").alias("digest"))
+    pairs = links(nodes.select("fp"), tau, radius)
+    if similarity:
+        pairs, nodes = stored(pairs, "candidates"), stored(nodes, "nodes")
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp"), "represented")
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d")).join(small, (F.col("d") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id")))
+        pairs = verified(pairs, stored(shingle_sets(texts.select("fp", "text"), shingle).dropDuplicates(["fp"]), "shingle_sets"), similarity)
+    labels = components(nodes.select("fp", "id"), pairs)
     named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     named = stored(named, "component_ids")  # a plain table on this side lets Spark split the hot partitions of the other
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

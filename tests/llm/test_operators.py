@@ -38,6 +38,65 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def brute_language(learned, texts):
+    """(language, share) of each text by plain loops; learned: (language, text) rows."""
+
+    def grams(text):
+        chars = [c if c.isalpha() else " " for c in f" {(text or '').lower()} "]
+        kept = [c for k, c in enumerate(chars) if c != " " or k == 0 or chars[k - 1] != " "]
+        if not any(c != " " for c in kept):
+            return None
+        out = collections.Counter()
+        for a, b, c in zip(kept, kept[1:], kept[2:]):
+            h = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) % 2**32
+            h ^= h >> 15
+            out[h * 0x2C1B3C6D % 2**32 >> 32 - langid.BITS] += 1
+        return out
+
+    counts = collections.defaultdict(collections.Counter)
+    for lang, text in learned:
+        if lang is not None and text is not None and grams(text):
+            counts[lang].update(grams(text))
+    langs, size = sorted(counts), 1 << langid.BITS
+    sums = {k: sum(c.values()) for k, c in counts.items()}
+    chance = lambda k, g: (counts[k][g] + langid.SMOOTHING) / (sums[k] + langid.SMOOTHING * size)
+
+    def fit(names, g):
+        share, total = [1 / len(names)] * len(names), sum(g.values())
+        p = {x: [chance(k, x) for k in names] for x in g}
+        for _ in range(langid.ROUNDS if len(names) > 1 else 0):
+            new = [0.0] * len(names)
+            for x, n in g.items():
+                mix = sum(s * q for s, q in zip(share, p[x]))
+                for k in range(len(names)):
+                    new[k] += n * share[k] * p[x][k] / mix / total
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(n * math.log(sum(s * q for s, q in zip(share, p[x]))) for x, n in g.items())
+
+    out = []
+    for text in texts:
+        g = grams(text) if langs else None
+        if not g:
+            out.append(("und", 0.0))
+            continue
+        share, _ = fit(langs, g)
+        order = sorted(range(len(langs)), key=lambda k: -share[k])
+        names = [langs[k] for k in order if share[k] >= langid.PRUNE] or [langs[order[0]]]
+        best = None
+        for n in range(1, len(names) + 1):
+            share, likelihood = fit(names[:n], g)
+            value = likelihood - langid.PENALTY * 0.5 * (n - 1) * math.log(sum(g.values()))
+            if best is not None and value <= best[0]:
+                break
+            best = (value, names[:n], share)
+        k = min(range(len(best[1])), key=lambda k: (-best[2][k], k))
+        out.append((best[1][k], min(1.0, best[2][k])))
+    return out
+
+
 def pairs(df):
     return collections.Counter(map(tuple, df.collect()))
 
@@ -189,8 +248,24 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_language_equals_brute_force(spark, docs):
+    real = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text is None or len(r.text) < 4000]
+    mixed = [" ".join(real[k].text for k in (i, i + 1, i + 2)) for i in range(0, 30, 3)]
+    texts = [r.text for r in real] + mixed + ["aaa", "a", "x" * 300]
+    df = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "k int, text string, score string")
+    learned = [(r.lang, r.text) for r in real[::2]] + [("tie", "qqq www"), ("tie2", "qqq www")]
+    model = langid.learn(spark.createDataFrame(learned, "lang string, text string"))
+    got = sorted(langid.predict(df, model, F.col("k")).collect())
+    expected = brute_language(learned, [*texts])
+    assert [r.lang_pred for r in got] == [e[0] for e in expected]
+    assert all(r.score == pytest.approx(e[1], abs=2e-3) for r, e in zip(got, expected, strict=True))
+    assert any(r.score < 0.9 for r in got if r.lang_pred != "und")
+    tie = langid.predict(spark.createDataFrame([("qqq www",)], "text string"), model).first()
+    assert tie.lang_pred == "tie" == brute_language(learned, ["qqq www"])[0][0]
+
+
 def test_simhash(spark, docs, empty):
-    rows = docs.select("doc_id", "text").where("doc_id is not null").collect()
+    rows = docs.select("doc_id", "text").collect()
     fps = [brute_fingerprint(r.text) for r in rows]
     parent = list(range(len(rows)))
 
@@ -205,9 +280,9 @@ def test_simhash(spark, docs, empty):
                 parent[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
-        least[root(i)] = min(r.doc_id, least.get(root(i), 1 << 60))
-    expected = collections.Counter((r.doc_id, f"{fps[i]:016x}", least[root(i)]) for i, r in enumerate(rows))
-    assert pairs(simhash.near_duplicates(docs.where("doc_id is not null"))) == expected
+        least[root(i)] = min(1 << 60 if r.doc_id is None else r.doc_id, least.get(root(i), 1 << 60))
+    expected = collections.Counter((r.doc_id, f"{fps[i]:016x}", None if least[root(i)] == 1 << 60 else least[root(i)]) for i, r in enumerate(rows))
+    assert pairs(simhash.near_duplicates(docs)) == expected
     assert simhash.near_duplicates(empty).collect() == []
 
 
@@ -231,6 +306,60 @@ def test_pigeonring_misses_no_link(spark):
     assert {r.component_id for r in simhash.components(nodes, simhash.links(nodes.select("fp"))).collect()} == {31}
 
 
+def test_rows_of_null_ids_keep_their_links(spark):
+    bits = spark.createDataFrame([(0, 1), (7, None), (63, 2), (1 << 40 | 1 << 50, None)], "fp bigint, id bigint")  # 1 - null - 2, three bits apart each
+    got = {r.fp: r.component_id for r in simhash.components(bits, simhash.links(bits.select("fp"))).collect()}
+    assert {k: got.get(k) for k in (0, 7, 63)} == {0: 1, 7: 1, 63: 1}
+    nulls = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, None), (None, "")], "doc_id bigint, text string")
+    assert pairs(simhash.near_duplicates(nulls).select("doc_id", "component_id")) == collections.Counter([(None, None), (None, None), (4, 4), (None, 4)])
+
+
+def test_masks_are_those_of_the_ring():
+    for tau, count, segments in ((3, 24, 4), (5, 56, 3)):
+        masks = simhash._masks(tau)
+        assert len(masks) == count and all(m.bit_count() == 8 * segments for m in masks)
+        random.seed(tau)
+        for _ in range(3000):
+            x = sum(1 << b for b in random.sample(range(64), tau))
+            assert any(x & m == 0 for m in masks)
+
+
+def test_verified_links_give_all_components(spark):
+    random.seed(6)
+    base = [[f"w{random.randint(0, 500)}" for _ in range(120)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        w = list(base[k % 6])
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(len(w))] = f"x{random.randint(0, 9)}"
+        rows.append((k if k % 11 else None, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    masks = simhash._masks(5)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    stands = {f: min((i for i in range(len(rows)) if fps[i] == f), key=lambda i: key(rows[i])) for f in set(fps)}
+    root = {f: f for f in stands}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for f in stands:
+        for g in stands:
+            if (f ^ g).bit_count() <= 10 and any((f ^ g) & m == 0 for m in masks) and near(stands[f], stands[g]):
+                root[find(f)] = find(g)
+    least = {}
+    for (i, _), f in zip(rows, fps, strict=True):
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    expected = collections.Counter((i, f"{f:016x}", least.get(find(f))) for (i, _), f in zip(rows, fps, strict=True))
+    got = pairs(simhash.near_duplicates(df, shingle=5, tau=5, radius=10, similarity=0.8))
+    assert got == expected and len(set(least.values())) < 40
+
+
 def test_leaks(spark, docs, empty):
     random.seed(4)
     texts = [r.text for r in docs.select("text").where("doc_id < 60").collect()]

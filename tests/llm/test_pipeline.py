@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cloakwork.llm import quality, queries
 
-from test_operators import SPLIT, brute_quality, words
+from test_operators import SPLIT, brute_language, brute_quality, words
 
 
-def by_letters(rows, items):
-    return [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+def by_language(rows, items):
+    found = brute_language([(r["lang"], r["text"]) for r in rows], [r["text"] for r in rows])
+    return [r | {"lang": lang} for r, (lang, share) in zip(rows, found, strict=True) if lang != "und" and share >= 0.5]
 
 
 def by_rules(rows, items):
@@ -52,29 +53,37 @@ def by_rules(rows, items):
 
 
 def by_simhash(rows, items):
-    def fingerprint(text):
+    def grams(text):
         w = words(text)
-        grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+    def fingerprint(text):
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams(text)]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     fps = [fingerprint(r["text"]) for r in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
-                root[find(i)] = find(j)
+    key = lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0)
+    stands = {}
+    for i, f in enumerate(fps):
+        stands[f] = min(stands.get(f, i), i, key=key)
+    sets = {f: set(grams(rows[i]["text"])) for f, i in stands.items()}
+    root = {f: f for f in stands}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for f in stands:
+        for g in stands:
+            x = f ^ g
+            if f < g and x.bit_count() <= 10 and sum(x >> 8 * s & 255 == 0 for s in range(8)) >= 3 and len(sets[f] & sets[g]) >= 0.8 * len(sets[f] | sets[g]):
+                root[find(f)] = find(g)
     least = {}
-    for i, r in enumerate(rows):
+    for r, f in zip(rows, fps, strict=True):
         if r["doc_id"] is not None:
-            least[find(i)] = min(least.get(find(i), r["doc_id"]), r["doc_id"])
-    return [r for i, r in enumerate(rows) if r["doc_id"] is None or r["doc_id"] == least[find(i)]]
+            least[find(f)] = min(least.get(find(f), r["doc_id"]), r["doc_id"])
+    return [r for r, f in zip(rows, fps, strict=True) if r["doc_id"] is None or r["doc_id"] == least[find(f)]]
 
 
 def by_leaks(rows, items):
@@ -91,7 +100,7 @@ def by_leaks(rows, items):
     return [r for r in rows if r["doc_id"] is None or not leaks(r)]
 
 
-BRUTE = [by_letters, by_rules, by_simhash, by_leaks]
+BRUTE = [by_language, by_rules, by_simhash, by_leaks]
 
 
 def as_bag(rows):
