@@ -518,3 +518,30 @@ def test_folds(spark):
 
     got = spark.createDataFrame([(k,) for k in (0, 5, 123456, None)], "i bigint").select("i", fold(F.col("i"), 3)).collect()
     assert all(r[1] == (-1 if r[0] is None else zlib.crc32(str(r[0]).encode()) % 3) for r in got)
+
+
+def test_leaks_in_long_documents_without_broadcast(spark, monkeypatch):
+    """Items of all sizes, some of their words changed, at any place of long documents; none is lost, with broadcasts and without."""
+    random.seed(12)
+    pool = [f"w{k}" for k in range(400)]
+    items, texts = [], []
+    for k in range(40):
+        items.append((k, " ".join(random.choices(pool, k=[5, 6, 9, 20, 45, 130][k % 6]))))
+    for d in range(25):
+        w = random.choices(pool, k=4000)
+        for _ in range(4):
+            own = items[random.randrange(40)][1].split()
+            for _ in range(random.randint(0, max(1, len(own) // 20))):
+                own[random.randrange(len(own))] = "other"
+            at = random.randrange(len(w))
+            w[at:at] = own
+        texts.append((d, " ".join(w)))
+    grams = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    held = {d: grams(t) for d, t in texts}
+    expected = {(d, i, len(grams(t) & held[d]), len(grams(t))) for i, t in items for d in held if len(grams(t) & held[d]) >= math.ceil(0.8 * len(grams(t)) - 1e-9)}
+    docs_, tests = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.find_leaks(docs_, tests).collect()
+    assert len(got) == len(expected) > 30 and {tuple(r)[:4] for r in got} == expected
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    got = decontam.find_leaks(docs_, tests).collect()
+    assert len(got) == len(expected) and {tuple(r)[:4] for r in got} == expected
