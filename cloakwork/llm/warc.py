@@ -22,7 +22,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,13 @@ from pyspark.sql import functions as F
 
 from ._shared import scratch_path, stored
 
-REVISIT_BYTES, RECORDS_A_FILE, EPOCH = 100, 500, 1_704_067_200
+REVISIT_BYTES, EPOCH = 100, 1_704_067_200
+#: Records of an archive at most, and the bytes of payloads that it should hold at most on average.
+RECORDS_A_FILE, BYTES_A_FILE = 500, 128 << 20
+#: Digests of repeated payloads that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
+#: Rows that a run hands to the merge at once.
+MERGE_ROWS = 1000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,8 +54,11 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), (date if date is not None else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(31_536_000)))).alias("date"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload")})
-    firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+    keys = stored(rows.select("digest", "id", "size"), "payload_keys")
+    firsts = stored(keys.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "repeated_payloads")
+    mean = keys.agg(F.coalesce(F.avg("size"), F.lit(0))).first()[0]
+    few = firsts.count() <= BROADCAST_DIGESTS  # a plain table otherwise, so that Spark can split hot digests of the other side
+    rows = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), F.col("digest"), F.lit(">"))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
@@ -55,7 +66,7 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", name(F.col("id"))),
-        _line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _line("WARC-Date", F.expr("concat(replace(cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, unix_seconds(date)) as string), ' ', 'T'), 'Z')")),  # UTC, whatever the session's zone
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", name(F.col("first"))))).otherwise(F.lit("")),
@@ -64,22 +75,23 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
         F.lit("\r\n"),
         F.col("block"),
     )
-    rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    rows.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(RECORDS_A_FILE, int(BYTES_A_FILE / max(mean, 1))))).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record in an archive's uncompressed bytes."""
+def records(stream: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of an uncompressed archive, one at a time."""
     at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode("utf-8").split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(headers["Content-Length"])
-        yield at, headers, data[head + 4 : head + 4 + size]
-        at = head + 4 + size
-        if data[at : at + 4] != b"\r\n\r\n":
+    while line := stream.readline():
+        size, headers = len(line), {}
+        while (line := stream.readline()).strip():
+            size += len(line)
+            name, _, value = line.decode("utf-8").removesuffix("\r\n").partition(": ")
+            headers[name] = value
+        block = stream.read(int(headers["Content-Length"]))
+        if len(block) < int(headers["Content-Length"]) or stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"record at {at} is not followed by its separator")
-        at += 4
+        yield at, headers, block
+        at += size + len(line) + len(block) + 4
 
 
 def url_key(url: str | None) -> str:
@@ -99,7 +111,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 out = []
-                for at, h, block in records(gzip.decompress(content.as_buffer())):
+                for at, h, block in records(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer()))):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                     size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
@@ -118,25 +130,25 @@ _TYPES = {"url_key": pa.string(), "ts": pa.string(), "id": pa.int64(), "payload_
 _SCHEMA = ", ".join(f"{n} {'string' if t == pa.string() else 'bigint'}" for n, t in _TYPES.items())
 
 
-def loser_merge(runs: list[list], key) -> Iterator:
-    """Merge sorted runs with a tree of losers: each output costs one match per level."""
+def loser_merge(runs: list[Iterable], key) -> Iterator:
+    """Merge sorted runs with a tree of losers: each output costs one match per level, and one row of each run is held."""
     k = len(runs)
     if k == 0:
         return
-    at = [0] * k
-    done = object()
-    heads = [(key(r[0]) if r else done) for r in runs]
+    runs, done = [iter(r) for r in runs], object()
+    rows = [next(r, done) for r in runs]
+    heads = [r if r is done else key(r) for r in rows]
     beats = lambda a, b: heads[b] is done or (heads[a] is not done and (heads[a], a) < (heads[b], b))
-    losers = [0] * k  # losers[0] is the winner
+    losers = [0] * k
     winners = [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
         a, b = winners[2 * node], winners[2 * node + 1]
         winners[node], losers[node] = (a, b) if beats(a, b) else (b, a)
     winner = winners[1] if k > 1 else 0
     while heads[winner] is not done:
-        yield runs[winner][at[winner]]
-        at[winner] += 1
-        heads[winner] = key(runs[winner][at[winner]]) if at[winner] < len(runs[winner]) else done
+        yield rows[winner]
+        rows[winner] = next(runs[winner], done)
+        heads[winner] = done if rows[winner] is done else key(rows[winner])
         node = (winner + k) // 2
         while node >= 1:
             if beats(losers[node], winner):
@@ -144,6 +156,15 @@ def loser_merge(runs: list[list], key) -> Iterator:
             node //= 2
 
 
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    for batch in table.to_batches(max_chunksize=MERGE_ROWS):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _order(r: tuple) -> tuple:
+    return r[0], r[1], r[2] is not None, r[2] or 0, r[4]
+
+
 def index(captures: DataFrame) -> DataFrame:
     """Captures in the global order of (url_key, ts, id, payload_digest), null ids first: partition by partition, and within each."""
     order = ["url_key", "ts", "id", "payload_digest"]
@@ -151,12 +172,18 @@ def index(captures: DataFrame) -> DataFrame:
     ranged = runs.repartitionByRange(*order)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        key = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[4])
-        cuts = [0, *(i for i in range(1, len(rows)) if key(rows[i]) < key(rows[i - 1])), len(rows)]  # slices of runs arrive one after another
-        merged = list(loser_merge([rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a], key))
-        for a in range(0, len(merged), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in merged[a : a + 10_000]], t) for k, t in enumerate(_TYPES.values())], list(_TYPES))
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)  # columns of one key range; rows become Python objects MERGE_ROWS at a time
+        cuts, last = [0], None
+        for i, r in enumerate(_rows(table)):  # slices of runs arrive one after another
+            if last is not None and _order(r) < last:
+                cuts.append(i)
+            last = _order(r)
+        merged = loser_merge([_rows(table.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], table.num_rows], strict=True)], _order)
+        while part := list(islice(merged, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(_TYPES.values())], list(_TYPES))
 
     return ranged.mapInArrow(merge, _SCHEMA)
 

@@ -414,6 +414,23 @@ def test_warc(spark):
     assert warc.archive_and_index(df.where("page_id > 99")).collect() == []
 
 
+def test_warc_in_another_zone_with_large_payloads(spark, monkeypatch):
+    """Dates are UTC in any session; large payloads make for files of few records; hot digests join without a broadcast too."""
+    rows = [(k, f"http://h.org/{k % 3}", "x" * 300_000 if k % 2 else f"{k} " * 60) for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    monkeypatch.setattr(warc, "BYTES_A_FILE", 400_000)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.page_id: r for r in warc.archive_and_index(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got[1].ts == "2024-01-01T00:00:01Z" and len({r.file for r in got.values()}) >= 5
+    assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {3: 1, 5: 1, 7: 1, 9: 1, 11: 1}
+    assert all(r.payload_bytes == len(rows[k][2]) for k, r in got.items())
+
+
 def test_loser_tree():
     random.seed(6)
     for k in range(9):
