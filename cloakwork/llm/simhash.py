@@ -9,14 +9,14 @@ segments differs in at most floor(3k/8) bits: 0, 0, 1, 1, 1, 2, 2, 3 for k = 1..
 from some start, two segments are equal and the next three differ in one bit at most,
 hence two of those three are equal as well: 8 starts x 3 choices give 24 equality keys
 of 32 bits, and no link is missed.  Pairs that share a key must pass the whole chain of
-budgets before the full Hamming check; each pair is kept at its first key only.
+budgets before the full Hamming check.
 
 Other budgets work alike (5 bits: 56 keys of 24 bits), and links can be verified by the
 exact similarity of shingle sets.
 
 Equal fingerprints collapse first, so copies never become pairs, however many there are.
-Only links between different fingerprints are made, each once; connected components
-then spread smallest ids over them.
+Links are made between different fingerprints only, and only as many as their connected
+components need; smallest ids then spread over these.
 
 Defined results: null or wordless text has fingerprint zero and links like any other;
 repeated rows (and rows of a null id) keep their number; a row of a null id links other
@@ -26,14 +26,14 @@ is its component_id null; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import ascii_words, small_batches, stored
@@ -41,6 +41,8 @@ from ._shared import ascii_words, small_batches, stored
 TAU, SEGMENTS, SHINGLE, SEED = 3, 8, 3, 42
 #: Representatives' keys that are broadcast at most (24 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: How much wider each round of verification is than the one before.
+GROWTH = 16
 #: Shingles hashed and counted at once, which bounds memory on long texts.
 BLOCK = 65_536
 
@@ -105,20 +107,61 @@ def _ring(x: Column, tau: int) -> Column:
     return reduce(lambda a, b: a | b, starts)
 
 
-def links(fps: DataFrame, tau: int = TAU, radius: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different fingerprints.
+def _near(a: Column, b: Column, radius: int) -> Column:
+    """The whole chain of budgets, then the full Hamming check."""
+    x = a.bitwiseXOR(b)
+    return _ring(x, radius) & (F.bit_count(x) <= radius)
 
-    All pairs at most tau bits apart are found.  With a ``radius`` above tau, pairs up to it
-    are returned as far as they share one of tau's keys.
+
+def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
+    """(fp, root): for each fingerprint that is linked, one of its connected component.
+
+    All pairs at most tau bits apart link; with a ``radius`` above tau also pairs up to it as
+    far as they share one of tau's keys.  sets: gives the shingle sets of the fingerprints of
+    a table (fp), by which pairs are verified.
+
+    First, each fingerprint is compared with the smallest near one among those that are the
+    smallest under a key of its own.  After that, only fingerprints of different components
+    are paired, and components are joined as wholes: a ball of n near fingerprints makes
+    about n pairs, and no component is lost.
     """
     radius = radius or tau
-    masks = _masks(tau)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "value"))
-    left, right = keyed.select(F.col("fp").alias("a"), "mask", "value"), keyed.select(F.col("fp").alias("b"), F.col("mask").alias("m2"), F.col("value").alias("v2"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    first = reduce(lambda rest, k: F.when(x.bitwiseAND(F.lit(_signed(masks[k]))) == 0, F.lit(k)).otherwise(rest), range(len(masks) - 1, -1, -1), F.lit(-1))
-    on = (F.col("mask") == F.col("m2")) & (F.col("value") == F.col("v2")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & _ring(x, radius) & (first == F.col("mask"))
-    return left.join(right.hint("merge"), on).select("a", "b")
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _masks(tau)])).alias("mask", "value"))
+    shared = keyed.groupBy("mask", "value").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last").drop("last")
+    members = stored(keyed.join(shared, ["mask", "value"]), "shared_keys")
+    star = members.where((F.col("fp") > F.col("hub")) & _near(F.col("hub"), F.col("fp"), radius))
+    star = star.groupBy("fp").agg(F.min("hub").alias("a")).select("a", F.col("fp").alias("b"))
+    if sets:
+        star = stored(star, "star_pairs")
+        star = alike(star, sets(_ends(star)), similarity).where("alike").select("a", "b")
+    first = stored(_joined(star), "first_components")
+    named = stored(members.drop("hub").join(first, "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("root"), "shared_keys")
+    mixed = named.groupBy("mask", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("mask", "value")
+    left = named.join(mixed, ["mask", "value"], "left_semi").withColumnsRenamed({"fp": "a", "of": "of_a"})
+    right = left.select("mask", "value", F.col("a").alias("b"), F.col("of_a").alias("of_b"))
+    cross = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius))
+    cross = stored(cross.select("a", "b", "of_a", "of_b").distinct(), "cross_pairs")
+    wholes = verified(cross, sets(_ends(cross)), similarity) if sets else _joined(cross.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    wholes = stored(wholes, "joined_components")
+    members_of = first.select("fp", F.col("root").alias("of")).union(wholes.join(first.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("of")))
+    return members_of.join(wholes.withColumnRenamed("fp", "of"), "of", "left").select("fp", F.coalesce("root", "of").alias("root"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(fp, root) of all ends of the pairs (a, b)."""
+    return components(_ends(pairs).withColumn("id", F.col("fp")), pairs).withColumnRenamed("component_id", "root")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs with whether their shingle sets have at least that Jaccard similarity; both: what the sets share."""
+    left, right = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, enough.alias("alike"))
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -134,42 +177,40 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those links among ``pairs`` that the components of all similar pairs need.
+    """(fp, root) of the components that similar pairs join.  pairs: (a, b, of_a, of_b), with the components they lie in.
 
-    In each round, each node is compared with its smallest open partner.  Pairs that a round
-    has compared, and pairs whose nodes are in one component already, are closed: so a
-    group of n near copies takes about n comparisons, not all of its pairs, and yet no
-    component differs from what comparing all pairs gives.
+    In each round, each node is compared with its smallest open partners: one at first, then
+    GROWTH times as many.  Pairs compared, and pairs whose components are joined already, are
+    closed, so nothing differs from what comparing all pairs gives.
     """
-    spark = pairs.sparkSession
     done: DataFrame | None = None
-    left, other = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    width = 1
     while True:
-        first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        alike = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)
-        tested = stored(first.join(left, "a").join(other, "b").select("a", "b", alike.alias("alike")), "compared")
-        new = tested.where("alike").select("a", "b")
-        done = new if done is None else stored(done.unionByName(new), "verified")
-        labels = components(done.select(F.explode(F.array("a", "b")).alias("fp")).distinct().withColumn("id", F.col("fp")), done)
-        named = lambda c: labels.select(F.col("fp").alias(c), F.col("component_id").alias(f"of_{c}"))
-        open_ = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
-        pairs = stored(open_.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "open_pairs")
+        rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        tested = stored(alike(pairs.withColumn("rank", rank).where(F.col("rank") <= width).drop("rank"), sets, similarity), "compared")
+        new = tested.where("alike").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        done = new if done is None else stored(done.union(new), "joins")
+        labels = stored(_joined(done), "labels")
+        rest = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("of_a", "of_b"):
+            named = labels.select(F.col("fp").alias(end), F.col("root").alias(f"root_{end}"))
+            rest = rest.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        pairs = stored(rest.where("root_of_a <> root_of_b").select("a", "b", "of_a", "of_b"), "open_pairs")
         if not pairs.limit(1).count():
-            return done
+            return labels
+        width *= GROWTH
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(fp, component_id): the smallest ``id`` of each linked node's connected component.
 
-    nodes: (fp, id); null ids link others but come last.  A label is (whether the id is null, id,
-    fp) of some node.  Labels spread along links, and
+    nodes: (fp, id).  A label is (id, fp) of some node.  Labels spread along links, and
     pointer jumping (the label of a label's own node) shortens long chains, until nothing
     changes.  Only linked nodes take part; each round is a written table.
     """
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))
     both = stored(both, "links")
-    linked = stored(both.select("fp").distinct().join(nodes, "fp").select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("label")), "labels")
+    linked = stored(both.select("fp").distinct().join(nodes, "fp").select("fp", F.struct("id", "fp").alias("label")), "labels")
     while True:
         heard = both.join(linked.select(F.col("fp").alias("other"), "label"), "other").groupBy("fp").agg(F.min("label").alias("heard"))
         spread = linked.join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
@@ -180,6 +221,13 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             return linked.select("fp", F.col("label.id").alias("component_id"))
 
 
+def named_components(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest id of each component; nodes: (fp, id), null ids coming last.  of: as ``roots`` gives it."""
+    rooted = stored(nodes.select("fp", "id").join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU, radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable.
 
@@ -188,14 +236,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "digest")).alias("least")).select("fp", F.col("least.id").alias("id"), F.col("least.digest").alias("digest"))
-    pairs = links(nodes.select("fp"), tau, radius)
+    sets = None
     if similarity:
-        pairs, nodes = stored(pairs, "candidates"), stored(nodes, "nodes")
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes, "fp"), "represented")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d")).join(small, (F.col("d") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id")))
-        pairs = verified(pairs, stored(shingle_sets(texts.select("fp", "text"), shingle).dropDuplicates(["fp"]), "shingle_sets"), similarity)
-    labels = components(nodes.select("fp", "id"), pairs)
-    named = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+        nodes = stored(nodes, "nodes")
+
+        def sets(fps: DataFrame) -> DataFrame:
+            wanted = stored(fps.join(nodes, "fp"), "represented")
+            small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+            texts = df.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d")).join(small, (F.col("d") == F.col("digest")) & F.col("own").eqNullSafe(F.col("id")))
+            return stored(shingle_sets(texts.select("fp", "text"), shingle).dropDuplicates(["fp"]), "shingle_sets")
+
+    of = roots(nodes.select("fp"), tau, radius, sets, similarity or 0.0)
+    named = named_components(nodes, of)
     named = stored(named, "component_ids")  # a plain table on this side lets Spark split the hot partitions of the other
     return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -297,18 +297,35 @@ def test_pigeonring_misses_no_link(spark):
                 x ^= 1 << b
     fps = list(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect()
-    expected = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
-    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    table = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    every = {tuple(sorted((signed[i], signed[j]))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
+
+    def groups(pairs_):
+        root = {f: f for f in signed}
+
+        def find(f):
+            while root[f] != f:
+                f = root[f]
+            return f
+
+        for a, b in pairs_:
+            root[find(a)] = find(b)
+        return {f: find(f) for f in signed}
+
+    other = groups(every)
+    got = {r.fp: r.root for r in simhash.roots(table).collect()}
+    one = {f: got.get(f, f) for f in signed}
+    assert len(set(one.values())) == len(set(other.values())) == len(set(zip(one.values(), other.values(), strict=True)))
+    assert set(got) == {f for pair in every for f in pair}
     chain = [(1 << 3 * k) - 1 for k in range(20)]  # a chain of links, three bits each
     chain = [c - (1 << 64) if c >> 63 else c for c in chain]
     nodes = spark.createDataFrame([(c, 50 - k) for k, c in enumerate(chain)], "fp bigint, id bigint")
-    assert {r.component_id for r in simhash.components(nodes, simhash.links(nodes.select("fp"))).collect()} == {31}
+    assert {r.component_id for r in simhash.named_components(nodes, simhash.roots(nodes.select("fp"))).collect()} == {31}
 
 
 def test_rows_of_null_ids_keep_their_links(spark):
     bits = spark.createDataFrame([(0, 1), (7, None), (63, 2), (1 << 40 | 1 << 50, None)], "fp bigint, id bigint")  # 1 - null - 2, three bits apart each
-    got = {r.fp: r.component_id for r in simhash.components(bits, simhash.links(bits.select("fp"))).collect()}
+    got = {r.fp: r.component_id for r in simhash.named_components(bits, simhash.roots(bits.select("fp"))).collect()}
     assert {k: got.get(k) for k in (0, 7, 63)} == {0: 1, 7: 1, 63: 1}
     nulls = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, None), (None, "")], "doc_id bigint, text string")
     assert pairs(simhash.near_duplicates(nulls).select("doc_id", "component_id")) == collections.Counter([(None, None), (None, None), (4, 4), (None, 4)])
