@@ -120,26 +120,29 @@ def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Calla
     far as they share one of tau's keys.  sets: gives the shingle sets of the fingerprints of
     a table (fp), by which pairs are verified.
 
-    First, each fingerprint is compared with the smallest near one among those that are the
-    smallest under a key of its own.  After that, only fingerprints of different components
+    First, each fingerprint is compared with the smallest (largest) near one among those that
+    are the smallest (largest) under a key of its own.  After that, only fingerprints of different components
     are paired, and components are joined as wholes: a ball of n near fingerprints makes
     about n pairs, and no component is lost.
     """
     radius = radius or tau
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _masks(tau)])).alias("mask", "value"))
-    shared = keyed.groupBy("mask", "value").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last").drop("last")
+    shared = keyed.groupBy("mask", "value").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last")
     members = stored(keyed.join(shared, ["mask", "value"]), "shared_keys")
-    star = members.where((F.col("fp") > F.col("hub")) & _near(F.col("hub"), F.col("fp"), radius))
-    star = star.groupBy("fp").agg(F.min("hub").alias("a")).select("a", F.col("fp").alias("b"))
+    low = members.where((F.col("fp") > F.col("hub")) & _near(F.col("hub"), F.col("fp"), radius)).groupBy("fp").agg(F.min("hub").alias("a")).select("a", F.col("fp").alias("b"))
+    high = members.where((F.col("fp") < F.col("last")) & _near(F.col("fp"), F.col("last"), radius)).groupBy("fp").agg(F.max("last").alias("b")).select(F.col("fp").alias("a"), "b")
+    star = low.union(high).distinct()
     if sets:
         star = stored(star, "star_pairs")
         star = alike(star, sets(_ends(star)), similarity).where("alike").select("a", "b")
     first = stored(_joined(star), "first_components")
-    named = stored(members.drop("hub").join(first, "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("root"), "shared_keys")
+    named = stored(members.drop("hub", "last").join(first, "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("root"), "shared_keys")
     mixed = named.groupBy("mask", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("mask", "value")
     left = named.join(mixed, ["mask", "value"], "left_semi").withColumnsRenamed({"fp": "a", "of": "of_a"})
     right = left.select("mask", "value", F.col("a").alias("b"), F.col("of_a").alias("of_b"))
-    cross = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius))
+    masks, x = _masks(tau), F.col("a").bitwiseXOR(F.col("b"))
+    once = reduce(lambda rest, k: F.when(x.bitwiseAND(F.lit(_signed(masks[k]))) == 0, F.lit(k)).otherwise(rest), range(len(masks) - 1, -1, -1), F.lit(-1)) == F.col("mask")  # at a pair's first key only
+    cross = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius) & once)
     cross = stored(cross.select("a", "b", "of_a", "of_b").distinct(), "cross_pairs")
     wholes = verified(cross, sets(_ends(cross)), similarity) if sets else _joined(cross.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
     wholes = stored(wholes, "joined_components")

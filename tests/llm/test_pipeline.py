@@ -62,22 +62,17 @@ def by_simhash(rows, items):
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     fps = [fingerprint(r["text"]) for r in rows]
-    key = lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0)
-    stands = {}
-    for i, f in enumerate(fps):
-        stands[f] = min(stands.get(f, i), i, key=key)
-    sets = {f: set(grams(rows[i]["text"])) for f, i in stands.items()}
-    root = {f: f for f in stands}
+    root = {f: f for f in fps}
 
     def find(f):
         while root[f] != f:
             f = root[f]
         return f
 
-    for f in stands:
-        for g in stands:
+    for f in list(root):
+        for g in list(root):
             x = f ^ g
-            if f < g and x.bit_count() <= 10 and sum(x >> 8 * s & 255 == 0 for s in range(8)) >= 3 and len(sets[f] & sets[g]) >= 0.8 * len(sets[f] | sets[g]):
+            if f < g and x.bit_count() <= 6 and sum(x >> 8 * s & 255 == 0 for s in range(8)) >= 3:
                 root[find(f)] = find(g)
     least = {}
     for r, f in zip(rows, fps, strict=True):
