@@ -17,8 +17,8 @@ def _whole(docs: DataFrame) -> Column:
 
 #: Least share of a document's largest language.
 MIN_SHARE = 0.5
-#: Near-duplicates: words a shingle, fingerprint bits that may differ for sure, and at most, and least similarity of shingle sets.
-SHINGLE, TAU, RADIUS, SIMILARITY = 5, 5, 10, 0.8
+#: Near-duplicates: words a shingle, fingerprint bits that may differ for sure, and at most.
+SHINGLE, TAU, RADIUS = 5, 5, 6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     all are kept; other texts under the id of a duplicate stay, if they are none themselves.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("__key")
-    same = simhash.near_duplicates(docs.select(key, "text"), "__key", "text", SHINGLE, TAU, RADIUS, SIMILARITY)
+    same = simhash.near_duplicates(docs.select(key, "text"), "__key", "text", SHINGLE, TAU, RADIUS)
     gone = stored(same.where("__key.doc_id <> component_id.doc_id").select("__key").distinct(), "duplicates")
     return docs.select(_whole(docs), key).join(gone, "__key", "left_anti").select("__doc.*")
 
