@@ -98,13 +98,16 @@ def _masks(tau: int) -> list[int]:
 
 
 def _ring(x: Column, tau: int) -> Column:
-    """Whether from some segment on every chain of differences of ``x`` keeps its budget."""
-    budget = [tau * k // SEGMENTS for k in range(SEGMENTS + 1)]
-    d = [F.bit_count(F.shiftrightunsigned(x, 8 * s).bitwiseAND(F.lit(255))) for s in range(SEGMENTS)]
-    chain = lambda i, k: reduce(lambda a, b: a + b, [d[(i + j) % SEGMENTS] for j in range(k)]) <= budget[k]
-    ends = [k for k in range(1, SEGMENTS) if budget[k + 1] > budget[k]]  # of equal budgets the longest chain
-    starts = [reduce(lambda a, b: a & b, [chain(i, k) for k in ends]) for i in range(SEGMENTS)]
-    return reduce(lambda a, b: a | b, starts)
+    """Whether from some segment on every chain of differences of ``x`` keeps its budget.  Lambdas keep the plan small."""
+    segments = F.sequence(F.lit(0), F.lit(SEGMENTS - 1))
+    differing = F.transform(segments, lambda s: F.bit_count(F.call_function("shiftrightunsigned", x, s * 8).bitwiseAND(F.lit(255))))
+    more = lambda d, i: lambda a, j: F.struct((a["sum"] + F.get(d, (i + j) % SEGMENTS)).alias("sum"), (a["kept"] & (a["sum"] + F.get(d, (i + j) % SEGMENTS) <= F.floor(tau * (j + 1) / SEGMENTS))).alias("kept"))
+    chain = lambda d, i: F.aggregate(segments, F.struct(F.lit(0).alias("sum"), F.lit(True).alias("kept")), more(d, i), lambda a: a["kept"])
+    return F.get(F.transform(F.array(differing), lambda d: F.exists(segments, lambda i: chain(d, i))), F.lit(0))
+
+
+def _key_masks(tau: int) -> Column:
+    return F.array(*(F.lit(_signed(m)) for m in _masks(tau)))
 
 
 def _near(a: Column, b: Column, radius: int) -> Column:
@@ -126,7 +129,7 @@ def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Calla
     about n pairs, and no component is lost.
     """
     radius = radius or tau
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _masks(tau)])).alias("mask", "value"))
+    keyed = fps.select("fp", F.posexplode(F.transform(_key_masks(tau), lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "value"))
     shared = keyed.groupBy("mask", "value").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last")
     members = stored(keyed.join(shared, ["mask", "value"]), "shared_keys")
     low = members.where((F.col("fp") > F.col("hub")) & _near(F.col("hub"), F.col("fp"), radius)).groupBy("fp").agg(F.min("hub").alias("a")).select("a", F.col("fp").alias("b"))
@@ -140,8 +143,8 @@ def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Calla
     mixed = named.groupBy("mask", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("mask", "value")
     left = named.join(mixed, ["mask", "value"], "left_semi").withColumnsRenamed({"fp": "a", "of": "of_a"})
     right = left.select("mask", "value", F.col("a").alias("b"), F.col("of_a").alias("of_b"))
-    masks, x = _masks(tau), F.col("a").bitwiseXOR(F.col("b"))
-    once = reduce(lambda rest, k: F.when(x.bitwiseAND(F.lit(_signed(masks[k]))) == 0, F.lit(k)).otherwise(rest), range(len(masks) - 1, -1, -1), F.lit(-1)) == F.col("mask")  # at a pair's first key only
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    once = F.array_position(F.transform(_key_masks(tau), lambda m: x.bitwiseAND(m) == 0), True) == F.col("mask") + 1  # at a pair's first key only
     cross = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius) & once)
     cross = stored(cross.select("a", "b", "of_a", "of_b").distinct(), "cross_pairs")
     wholes = verified(cross, sets(_ends(cross)), similarity) if sets else _joined(cross.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
