@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,19 @@ def limited(sql: str, limit: int | None) -> str:
     return f"SELECT * FROM ({bare}) AS capped LIMIT {limit}" if isinstance(limit, int) and limit > 0 else bare
 
 
+def jdbc_url(connection: str) -> tuple[str, dict[str, str]]:
+    """A URL that JDBC drivers take, and user and password apart from it."""
+    if connection.lower().startswith("jdbc:"):
+        return connection, {}
+    kind = infer_driver(connection)
+    if kind == "sqlite":
+        return f"jdbc:sqlite:{connection.removeprefix('sqlite://')}", {}
+    parts = urlsplit(connection)
+    name = {"postgres": "postgresql"}.get(kind, kind)
+    own = {k: unquote(v) for k, v in (("user", parts.username), ("password", parts.password)) if v is not None}
+    return f"jdbc:{name}://{parts.netloc.rpartition('@')[2]}{parts.path}" + (f"?{parts.query}" if parts.query else ""), own
+
+
 def read(spark: SparkSession, connection: str, query: str, limit: int | None = DEFAULT_LIMIT, **options: str) -> DataFrame:
     """Run a query; the cap is part of the SQL, so the database applies it."""
     kind = infer_driver(connection)
@@ -46,5 +60,5 @@ def read(spark: SparkSession, connection: str, query: str, limit: int | None = D
         df = spark.read.format("mongodb").option("connection.uri", connection).option("collection", spec["collection"]).load()
         caps = [x for x in (limit, spec.get("limit")) if x]
         return df.limit(min(caps)) if caps else df
-    url = connection if connection.startswith("jdbc:") else f"jdbc:{connection}"
-    return spark.read.format("jdbc").option("url", url).option("query", limited(query, limit)).options(**options).load()
+    url, own = jdbc_url(connection)
+    return spark.read.format("jdbc").option("url", url).option("query", limited(query, limit)).options(**own | options).load()

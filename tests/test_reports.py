@@ -51,3 +51,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows[0].email == rows[2].email == "[EMAIL_1]" and rows[1].email != rows[0].email
     assert main(["db-scan", "nothing"], spark) == 2 and main(["list-patterns"]) == 0
     assert main(["guard", f"{folder}/a.txt", "--agent", "claude", "--destination", "external_model"], spark) == 0
+
+
+def test_jdbc_urls():
+    from cloakwork.sources.database import jdbc_url
+
+    assert jdbc_url("postgres://u:p%40w@h:5432/d?ssl=true") == ("jdbc:postgresql://h:5432/d?ssl=true", {"user": "u", "password": "p@w"})
+    assert jdbc_url("mariadb://h/d") == ("jdbc:mysql://h/d", {})
+    assert jdbc_url("data/x.sqlite3") == ("jdbc:sqlite:data/x.sqlite3", {})
+    assert jdbc_url("jdbc:mysql://h/d") == ("jdbc:mysql://h/d", {})
