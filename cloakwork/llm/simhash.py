@@ -15,6 +15,8 @@ Other budgets work alike (5 bits: 56 keys of 24 bits), and links can be verified
 exact similarity of shingle sets.
 
 Equal fingerprints collapse first, so copies never become pairs, however many there are.
+Sides of joins are broadcast only if they are small by their number of rows: Spark does not
+see that a fingerprint has dozens of keys, and the driver would hold them all.
 Links are made between different fingerprints only, and only as many as their connected
 components need; smallest ids then spread over these.
 
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ascii_words, small_batches, stored
+from ._shared import ascii_words, sized, small_batches, stored
 
 TAU, SEGMENTS, SHINGLE, SEED = 3, 8, 3, 42
 #: Representatives' keys that are broadcast at most (24 bytes each); more are joined by a shuffle.
@@ -131,7 +133,7 @@ def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Calla
     radius = radius or tau
     keyed = fps.select("fp", F.posexplode(F.transform(_key_masks(tau), lambda m: F.col("fp").bitwiseAND(m))).alias("mask", "value"))
     shared = keyed.groupBy("mask", "value").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub < last")
-    members = stored(keyed.join(shared, ["mask", "value"]), "shared_keys")
+    members = stored(keyed.join(shared.hint("merge"), ["mask", "value"]), "shared_keys")
     low = members.where((F.col("fp") > F.col("hub")) & _near(F.col("hub"), F.col("fp"), radius)).groupBy("fp").agg(F.min("hub").alias("a")).select("a", F.col("fp").alias("b"))
     high = members.where((F.col("fp") < F.col("last")) & _near(F.col("fp"), F.col("last"), radius)).groupBy("fp").agg(F.max("last").alias("b")).select(F.col("fp").alias("a"), "b")
     star = low.union(high).distinct()
@@ -139,18 +141,20 @@ def roots(fps: DataFrame, tau: int = TAU, radius: int | None = None, sets: Calla
         star = stored(star, "star_pairs")
         star = alike(star, sets(_ends(star)), similarity).where("alike").select("a", "b")
     first = stored(_joined(star), "first_components")
-    named = stored(members.drop("hub", "last").join(first, "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("root"), "shared_keys")
-    mixed = named.groupBy("mask", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("mask", "value")
-    left = named.join(mixed, ["mask", "value"], "left_semi").withColumnsRenamed({"fp": "a", "of": "of_a"})
+    named = stored(members.drop("hub", "last").join(sized(first), "fp", "left").withColumn("of", F.coalesce("root", "fp")).drop("root"), "shared_keys")
+    mixed = stored(named.groupBy("mask", "value").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("mask", "value"), "mixed_keys")
+    left = stored(named.join(sized(mixed), ["mask", "value"], "left_semi").withColumnsRenamed({"fp": "a", "of": "of_a"}), "mixed_members")
     right = left.select("mask", "value", F.col("a").alias("b"), F.col("of_a").alias("of_b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     once = F.array_position(F.transform(_key_masks(tau), lambda m: x.bitwiseAND(m) == 0), True) == F.col("mask") + 1  # at a pair's first key only
-    cross = left.join(right, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius) & once)
+    cross = left.join(sized(right), ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near(F.col("a"), F.col("b"), radius) & once)
     cross = stored(cross.select("a", "b", "of_a", "of_b").distinct(), "cross_pairs")
     wholes = verified(cross, sets(_ends(cross)), similarity) if sets else _joined(cross.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
     wholes = stored(wholes, "joined_components")
-    members_of = first.select("fp", F.col("root").alias("of")).union(wholes.join(first.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("of")))
-    return members_of.join(wholes.withColumnRenamed("fp", "of"), "of", "left").select("fp", F.coalesce("root", "of").alias("root"))
+    linked, joined = first.count(), wholes.count()
+    members_of = first.select("fp", F.col("root").alias("of")).union(wholes.join(sized(first.select("fp"), linked), "fp", "left_anti").select("fp", F.col("fp").alias("of")))
+    rooted = members_of.join(sized(wholes.withColumnRenamed("fp", "of"), joined), "of", "left").select("fp", F.coalesce("root", "of").alias("root"))
+    return sized(rooted, linked + joined)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -216,12 +220,14 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("a").alias("other")))
     both = stored(both, "links")
-    linked = stored(both.select("fp").distinct().join(nodes, "fp").select("fp", F.struct("id", "fp").alias("label")), "labels")
+    ends = stored(both.select("fp").distinct(), "ends")
+    n = ends.count()
+    linked = stored(sized(ends, n).join(nodes, "fp").select("fp", F.struct("id", "fp").alias("label")), "labels")
     while True:
-        heard = both.join(linked.select(F.col("fp").alias("other"), "label"), "other").groupBy("fp").agg(F.min("label").alias("heard"))
-        spread = linked.join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        heard = both.join(sized(linked.select(F.col("fp").alias("other"), "label"), n), "other").groupBy("fp").agg(F.min("label").alias("heard"))
+        spread = sized(linked, n).join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         owner = linked.select(F.col("fp").alias("at"), F.col("label").alias("owner"))
-        jumped = stored(spread.join(owner, F.col("label.fp") == F.col("at")).select("fp", "old", F.least("label", "owner").alias("label")), "labels")
+        jumped = stored(spread.join(sized(owner, n), F.col("label.fp") == F.col("at")).select("fp", "old", F.least("label", "owner").alias("label")), "labels")
         linked = jumped.select("fp", "label")
         if not jumped.where(F.col("label") < F.col("old")).limit(1).count():
             return linked.select("fp", F.col("label.id").alias("component_id"))
@@ -231,7 +237,7 @@ def named_components(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(fp, component_id): the smallest id of each component; nodes: (fp, id), null ids coming last.  of: as ``roots`` gives it."""
     rooted = stored(nodes.select("fp", "id").join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(sized(least, rooted.count()), "root").select("fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tau: int = TAU, radius: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -255,4 +261,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = roots(nodes.select("fp"), tau, radius, sets, similarity or 0.0)
     named = named_components(nodes, of)
     named = stored(named, "component_ids")  # a plain table on this side lets Spark split the hot partitions of the other
-    return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(sized(named), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm import bpe, decontam, langid, quality, simhash
-from cloakwork.llm._shared import stored
+from cloakwork.llm._shared import sized, stored
 from cloakwork.llm.queries import table, tokenizer_file
 
 
@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")).alias("__key")
     same = simhash.near_duplicates(docs.select(key, "text"), "__key", "text", SHINGLE, TAU, RADIUS)
     gone = stored(same.where("__key.doc_id <> component_id.doc_id").select("__key").distinct(), "duplicates")
-    return docs.select(_whole(docs), key).join(gone, "__key", "left_anti").select("__doc.*")
+    return docs.select(_whole(docs), key).join(sized(gone), "__key", "left_anti").select("__doc.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
