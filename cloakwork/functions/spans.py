@@ -47,7 +47,8 @@ def place(p: Column) -> Column:
     """The spans of ``pieces``: starts are running sums of gaps and matches."""
     sizes = F.transform(p["found"], lambda m, i: F.get(p["gaps"], i) + F.length(m))
     rows = lambda at: F.transform(p["found"], lambda m, i: F.struct((F.get(at, i) + F.get(p["gaps"], i)).alias("s"), m.alias("m")))
-    return F.when(p.isNull(), F.array().cast(SPAN)).otherwise(bind(bind(sizes, running), rows))
+    one = F.array(F.struct(F.get(p["gaps"], F.lit(0)).alias("s"), F.get(p["found"], F.lit(0)).alias("m")))
+    return F.when(p.isNull(), F.array().cast(SPAN)).when(F.size(p["found"]) == 1, one).otherwise(bind(bind(sizes, running), rows))
 
 
 def find_all(text: Column, rx: str) -> Column:
@@ -66,7 +67,7 @@ def line_numbers(text: Column, starts: Column) -> Column:
         part = lambda h, b: bind(own(b), lambda t: F.transform(F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)), lambda s: (F.get(h, b) + newlines(F.substring(t, F.lit(1), s - a(b))) + 1).cast("int")))
         return F.flatten(bind(ahead, lambda h: F.transform(_blocks(F.size(all_)), lambda b: part(h, b))))
 
-    return bind(starts, numbers)
+    return F.when(text.contains("\n"), bind(starts, numbers)).otherwise(F.transform(starts, lambda s: F.lit(1)))
 
 
 def before(text: Column, start: Column, size: int) -> Column:
@@ -77,7 +78,7 @@ def before(text: Column, start: Column, size: int) -> Column:
 
 def line_before(text: Column, start: Column, size: int | None = None) -> Column:
     """Up to ``size`` characters before a position, on its line; by default all of them."""
-    return F.regexp_extract(before(text, start, size) if size else F.substring(text, F.lit(1), start), r"[^\n]*\z", 0)
+    return F.substring_index(before(text, start, size) if size else F.substring(text, F.lit(1), start), "\n", -1)
 
 
 def after(text: Column, end: Column, size: int) -> Column:
@@ -85,7 +86,7 @@ def after(text: Column, end: Column, size: int) -> Column:
 
 
 def line_after(text: Column, end: Column) -> Column:
-    return F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"\A[^\n]*", 0)
+    return F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)
 
 
 def resolve(spans: Column, kind: str) -> Column:
@@ -104,10 +105,12 @@ def resolve(spans: Column, kind: str) -> Column:
 
     def fold(all_: Column) -> Column:
         part = lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK))
+        small = F.aggregate(all_, state(none, F.lit(0)), keep, lambda a: a["kept"])
         blocks = lambda a, b: bind(F.aggregate(part(b), state(none, a["last"]), keep), lambda new: F.struct(F.concat(a["kept"], F.array(new["kept"])).alias("kept"), new["last"].alias("last")))
-        return F.flatten(F.aggregate(_blocks(F.size(all_)), F.struct(F.array().cast(f"array<array<{kind}>>").alias("kept"), F.lit(0).alias("last")), blocks, lambda a: a["kept"]))
+        large = F.flatten(F.aggregate(_blocks(F.size(all_)), F.struct(F.array().cast(f"array<array<{kind}>>").alias("kept"), F.lit(0).alias("last")), blocks, lambda a: a["kept"]))
+        return F.when(F.size(all_) <= BLOCK, small).otherwise(large)
 
-    return bind(ordered, fold)
+    return F.when(F.size(spans) < 2, spans).otherwise(bind(ordered, fold))
 
 
 def splice(text: Column, edits: Column) -> Column:

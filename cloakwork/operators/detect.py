@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -12,11 +13,20 @@ from ..functions import names, spans
 from ..registry import ORDER, Detector, select
 
 ELEMENT = "struct<s:int,e:int,ord:int,id:string,m:string,c:string>"
-TEXT, NAMES, PLACED = "__text", "__names", "__placed"
+TEXT, LOWER, DIGIT, ALLOWED, NAMES = "__text", "__lower", "__digit", "__allowed", "__names"
 
 
-def _possible(text: Column, detector: Detector) -> Column:
-    return text.rlike(detector.literal) if detector.literal else F.lit(True)
+def _has_digit(text: Column) -> Column:
+    return text.rlike("[0-9]")
+
+
+def _possible(text: Column, detector: Detector, lower: Column | None = None, digit: Column | None = None) -> Column:
+    """Whether a text may hold a match, by what is cheapest first; lower, digit: where they are known already."""
+    holds = lambda where, some: [reduce(Column.__or__, (where.contains(x) for x in some))] if some else []
+    tests = [_has_digit(text) if digit is None else digit] if detector.digit else []
+    tests += holds(text, detector.holds) + holds(F.lower(text) if lower is None else lower, detector.folded)
+    tests += [text.rlike(detector.literal)] if detector.literal else []
+    return reduce(Column.__and__, tests) if tests else F.lit(True)
 
 
 def matches(text: Column, detector: Detector, found: Column | None = None) -> Column:
@@ -26,7 +36,7 @@ def matches(text: Column, detector: Detector, found: Column | None = None) -> Co
     where they are known already.
     """
     if detector.pattern is None:
-        return F.coalesce(names.spans_of(text)[detector.id] if found is None else found, F.array().cast(names.NAME_SPANS))
+        return F.coalesce(names.spans_of(text, kinds=(detector.id,))[detector.id] if found is None else found, F.array().cast(names.NAME_SPANS))
     if found is None:
         found = F.when(_possible(text, detector), spans.find_all(text, detector.pattern)).otherwise(F.array().cast(spans.SPAN))
     return F.filter(found, lambda x: detector.confirm(text, x["s"], x["m"])) if detector.confirm else found
@@ -58,33 +68,38 @@ def candidates(text: Column, detector: Detector, whitelist: tuple[str, ...] = ()
 
 
 @functools.lru_cache(maxsize=64)
-def _columns(jvm: int, detectors: tuple[Detector, ...], whitelist: tuple[str, ...], min_confidence: str | None) -> tuple[Column, tuple[tuple[str, Column], ...]]:
-    """All patterns' matches as one array, and each detector's candidates over TEXT and that array.
+def _candidates(jvm: int, detectors: tuple[Detector, ...], whitelist: tuple[str, ...], min_confidence: str | None) -> Column:
+    """The candidates of all detectors, over TEXT, LOWER, DIGIT, ALLOWED and NAMES.
 
-    One expression places the matches of all patterns, so plans stay small.  Expressions
-    take seconds to build, so they are kept for as long as their JVM.
+    Only detectors that match take part in what follows their patterns, so a row costs by
+    its matches.  Expressions take seconds to build, so they are kept for as long as their JVM.
     """
     text = F.col(TEXT)
-    rx = [d for d in detectors if d.pattern is not None]
-    placed = F.transform(F.array(*(F.when(_possible(text, d), spans.pieces(text, d.pattern)) for d in rx)), spans.place) if rx else F.lit(None)
-    at = {d.id: F.get(F.col(PLACED), F.lit(k)) for k, d in enumerate(rx)}
-    return placed, tuple((d.id, candidates(text, d, whitelist, min_confidence, at.get(d.id, F.col(NAMES)[d.id]))) for d in detectors)
+    allowed = lambda k: F.coalesce(F.get(F.col(ALLOWED), F.lit(k)), F.lit(True))
+    rx = [(k, d) for k, d in enumerate(detectors) if d.pattern is not None]
+    out = [F.when(allowed(k), candidates(text, d, whitelist, min_confidence, F.col(NAMES)[d.id])).otherwise(F.array().cast(f"array<{ELEMENT}>")) for k, d in enumerate(detectors) if d.pattern is None]
+    if rx:
+        pieces = F.array(*(F.struct(F.lit(k).alias("k"), F.when(allowed(k) & _possible(text, d, F.col(LOWER), F.col(DIGIT)), spans.pieces(text, d.pattern)).alias("p")) for k, d in rx))
+        placed = F.transform(F.filter(pieces, lambda h: h["p"].isNotNull()), lambda h: F.struct(h["k"].alias("k"), spans.place(h["p"]).alias("found")))
+        own = lambda h: reduce(lambda case, x: case.when(h["k"] == x[0], candidates(text, x[1], whitelist, min_confidence, h["found"])), rx[1:], F.when(h["k"] == rx[0][0], candidates(text, rx[0][1], whitelist, min_confidence, h["found"])))
+        out.append(F.flatten(F.transform(placed, own)))
+    return F.concat(*out) if len(out) > 1 else out[0]
 
 
 def with_spans(df: DataFrame, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), out: str = "spans", min_confidence: str | None = None, allow: dict[str, Column] | None = None) -> DataFrame:
-    """Add the resolved spans of all detectors.  Each detector is a column of its own, so expressions stay small.
+    """Add the resolved spans of all detectors.
 
     allow: detectors that run only on the rows where their condition holds.
     """
     detectors = detectors or select()
     rows = df.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit("")))
-    if any(d.pattern is None for d in detectors):
-        rows = rows.withColumn(NAMES, names.spans_of(F.col(TEXT)))
-    none = F.array().cast(f"array<{ELEMENT}>")
-    placed, own = _columns(id(SparkContext._gateway), detectors, whitelist, min_confidence)
-    each = rows.withColumn(PLACED, placed).withColumns({f"__c_{i}": F.when(allow[i], found).otherwise(none) if allow and i in allow else found for i, found in own})
-    joined = each.withColumn("__all", F.flatten(F.array(*(F.col(f"__c_{d.id}") for d in detectors)))).drop(TEXT, NAMES, PLACED, *(f"__c_{d.id}" for d in detectors))
-    return joined.withColumn(out, F.when(F.size("__all") > 0, spans.resolve(F.col("__all"), ELEMENT)).otherwise(none)).drop("__all")
+    may = {d.id: F.coalesce(allow[d.id], F.lit(False)) if allow and d.id in allow else F.lit(True) for d in detectors}
+    kinds = tuple(d.id for d in detectors if d.pattern is None)
+    if kinds:
+        rows = rows.withColumn(NAMES, names.spans_of(F.when(reduce(Column.__or__, (may[i] for i in kinds)), F.col(TEXT)), kinds=kinds))
+    rows = rows.withColumns({LOWER: F.lower(TEXT), DIGIT: _has_digit(F.col(TEXT)), ALLOWED: F.array(*may.values()) if allow else F.lit(None).cast("array<boolean>")})
+    found = rows.withColumn("__all", _candidates(id(SparkContext._gateway), detectors, whitelist, min_confidence)).drop(TEXT, NAMES, LOWER, DIGIT, ALLOWED)
+    return found.withColumn(out, spans.resolve(F.col("__all"), ELEMENT)).drop("__all")
 
 
 def findings(df: DataFrame, key: str, text_col: str = "text", detectors: tuple[Detector, ...] | None = None, whitelist: tuple[str, ...] = (), min_confidence: str | None = None) -> DataFrame:

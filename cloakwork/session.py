@@ -44,10 +44,13 @@ def ship_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table of fewer partitions than cores out to all of them; larger tables stay as they are."""
+def spread(df: DataFrame, always: bool = False) -> DataFrame:
+    """Deal the rows of a table of few partitions out to all cores; larger tables stay as they are.
+
+    always: for short rows that are dear to work on, as a single partition of a file holds millions of them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores) if always or df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
